@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarn.llm import simhash
+from skarn.llm import packing, simhash, tokenfile, unigram
 from skarn.sources.tables import table
 
 
@@ -10,7 +10,19 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark, sf_dir):
+    return tokenfile.token_files(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark, sf_dir):
+    return unigram.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op9_token_counts": op9_token_counts}
 ORACLES: dict[str, str] = {}
 
 
