@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarn.llm import packing, simhash, tokenfile, unigram
+from skarn.llm import decontaminate, packing, simhash, tokenfile, unigram
 from skarn.sources.tables import table
 
 
@@ -22,8 +22,12 @@ def op9_token_counts(spark, sf_dir):
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {}
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+ORACLES = {"op8_decontaminate": decontaminate.ORACLE}
 
 
 def queries():
