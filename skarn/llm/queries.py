@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarn.llm import decontaminate, packing, simhash, tokenfile, unigram
+from skarn.llm import decontaminate, packing, pii, simhash, tokenfile, unigram
 from skarn.sources.tables import table
 
 
@@ -26,7 +26,11 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts}
+def op10_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_pii": op10_pii}
 ORACLES = {"op8_decontaminate": decontaminate.ORACLE}
 
 
