@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarn.llm import decontaminate, packing, pii, simhash, tokenfile, unigram
+from skarn.llm import chat, decontaminate, packing, pii, quality, simhash, tokenfile, unigram
 from skarn.sources.tables import table
 
 
@@ -30,8 +30,18 @@ def op10_pii(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_pii": op10_pii}
-ORACLES = {"op8_decontaminate": decontaminate.ORACLE}
+def op2_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark, sf_dir):
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_conversations(chat.events_of_turns(turns)))
+
+
+QUERIES = {"op2_quality": op2_quality, "op4_chat": op4_chat, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_pii": op10_pii}
+ORACLES = {"op2_quality": quality.ORACLE, "op4_chat": chat.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
 
 
 def queries():
