@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarn.llm import chat, decontaminate, packing, pii, quality, simhash, tokenfile, unigram
+from skarn.llm import chat, decontaminate, license, packing, pii, quality, simhash, tokenfile, unigram
 from skarn.sources.tables import table
 
 
@@ -40,7 +40,11 @@ def op4_chat(spark, sf_dir):
     return chat.digests(chat.format_conversations(chat.events_of_turns(turns)))
 
 
-QUERIES = {"op2_quality": op2_quality, "op4_chat": op4_chat, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_pii": op10_pii}
+def op1_license(spark, sf_dir):
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_license": op1_license, "op2_quality": op2_quality, "op4_chat": op4_chat, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_pii": op10_pii}
 ORACLES = {"op2_quality": quality.ORACLE, "op4_chat": chat.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
 
 
