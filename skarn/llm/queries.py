@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skarn.llm import chat, decontaminate, license, packing, pii, quality, simhash, tokenfile, unigram
+from skarn.llm import chat, decontaminate, language, license, packing, pii, quality, simhash, tokenfile, unigram
 from skarn.sources.tables import table
 
 
@@ -44,7 +44,15 @@ def op1_license(spark, sf_dir):
     return license.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_license": op1_license, "op2_quality": op2_quality, "op4_chat": op4_chat, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_pii": op10_pii}
+def op6_language(spark, sf_dir):
+    """Both tables that have a language to find: documents and pages, told apart by kind."""
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(language.labelled_sample(documents))
+    sources = language.evidence_of_documents(documents).unionByName(language.evidence_of_pages(table(spark, sf_dir, "pages")))
+    return language.identify(sources, model)
+
+
+QUERIES = {"op1_license": op1_license, "op2_quality": op2_quality, "op4_chat": op4_chat, "op6_language": op6_language, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op7_token_files": op7_token_files, "op8_decontaminate": op8_decontaminate, "op9_token_counts": op9_token_counts, "op10_pii": op10_pii}
 ORACLES = {"op2_quality": quality.ORACLE, "op4_chat": chat.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
 
 
