@@ -66,7 +66,7 @@ _FIELDS = {"Y": ("year", r"(\\d{4})"), "y": ("year2", r"(\\d{1,2})"), "m": ("mon
 
 def str_to_date(value: str, form: str) -> tuple[str, str]:
     """Parse by a literal format: SQL and type. A date without time fields, else a timestamp; NULL on any failure."""
-    pattern, fields, k = "^", {}, 0
+    pattern, fields, groups, k = "^", {}, 0, 0
     while k < len(form):
         c, spec = form[k], form[k + 1 : k + 2]
         if c == "%" and spec:
@@ -74,7 +74,8 @@ def str_to_date(value: str, form: str) -> tuple[str, str]:
             if spec in _FIELDS:
                 name, part = _FIELDS[spec]
                 pattern += part
-                fields[name] = pattern.count("(")
+                groups += 1
+                fields[name] = groups
             else:
                 pattern += "\\\\%" if spec == "%" else "."
         else:

@@ -1,10 +1,22 @@
-"""Parquet tables of one scale-factor directory."""
+"""Parquet tables: scans that Catalyst pushes filters and columns into, and layouts that serve later scans and joins."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a lazy scan; Catalyst pushes filters and columns into it."""
+    """The table as a lazy scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def write_sorted(data: DataFrame, path: str, keys: Sequence[str], mode: str = "error") -> None:
+    """Range-partitioned and sorted by the keys, so that row-group statistics serve point and range lookups."""
+    data.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+
+
+def write_bucketed(data: DataFrame, name: str, keys: Sequence[str], buckets: int, mode: str = "error") -> None:
+    """A managed table bucketed by its join keys: joins of tables bucketed alike need no shuffle."""
+    data.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
