@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skarn.llm.common import arrow_pass
+from skarn.llm.common import arrow_pass, columns_of
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
@@ -250,8 +251,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents without a hit, with all their columns, in one scan and no shuffle."""
-    packed = documents.select(F.struct(*documents.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}"
+    packed = documents.select(F.struct(*columns_of(documents)).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([packed.schema["row"]])
     found = [*indexes(documents, benchmark)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

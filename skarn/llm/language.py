@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_pass, materialize
+from skarn.llm.common import arrow_pass, columns_of, materialize
 
 SAMPLE_PER_LANGUAGE = 500
 SAMPLE_CHARS = 4000
@@ -213,7 +213,7 @@ def identify(sources: DataFrame, model: TrigramModel) -> DataFrame:
 def keep_known(documents: DataFrame, model: TrigramModel) -> DataFrame:
     """The rows of documents whose id was not rejected, with all their columns."""
     found = materialize(identify(evidence_of_documents(documents), model).filter("not kept").select("doc_id").distinct(), "language-rejects")
-    return documents.join(found, "doc_id", "left_anti").select(documents.columns)
+    return documents.join(found, "doc_id", "left_anti").select(columns_of(documents))
 
 
 def brute_force(rows: list[dict], model: TrigramModel) -> list[tuple[str, float]]:

@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skarn.llm.boosting import Boosted
-from skarn.llm.common import arrow_pass
+from skarn.llm.common import arrow_pass, columns_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "ssn", "iban", "localphone", "ipv6", "mac")
@@ -301,7 +302,7 @@ def detect(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span of every text replaced by its kind; n_chars, if there, is counted anew."""
     fitted = model()
-    packed = documents.select(F.struct(*documents.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    packed = documents.select(F.struct(*columns_of(documents)).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,6 +310,6 @@ def redact(documents: DataFrame) -> DataFrame:
             new = [redacted(t, base + added) if t else t for t, (base, added) in zip(texts, _spans(texts, fitted), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["row", "text"])
 
-    out = arrow_pass(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, text string")
+    out = arrow_pass(packed, run, T.StructType([*packed.schema.fields]))
     fresh = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(documents.dtypes).get("n_chars", "long"))}
-    return out.select(*(fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns))
+    return out.select(*(fresh.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_pass, ascii_lower_words, materialize
+from skarn.llm.common import arrow_pass, ascii_lower_words, columns_of, materialize
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -258,7 +258,7 @@ def keep_first(documents: DataFrame) -> DataFrame:
     again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     single = documents.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left_anti")
     once = documents.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(documents.columns).unionByName(once.select(documents.columns))
+    return single.select(columns_of(documents)).unionByName(once.select(columns_of(documents)))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int]]:

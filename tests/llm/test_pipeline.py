@@ -1,6 +1,8 @@
-import numpy as np
 import zlib
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from skarn.llm import decontaminate, language, packing, pii, simhash
 from skarn.llm.wordbpe import encoder
@@ -38,7 +40,7 @@ def test_run_against_brute_force(spark):
 
 def test_stages_keep_columns(spark):
     rows = [(i, f"the of and in to that is {i} words of text number {i * 7919} here", "en", "s", 40, "extra") for i in range(30)] + [(None, None, None, None, None, None), (5, "", "en", "s", 0, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string").withColumns({"a.b`c": F.lit(1.5), "kept": F.lit(None).cast("string"), "fp": F.array(F.lit("x")), "clean": F.current_timestamp()})
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs_after = stage(spark, docs, SF)
         assert docs_after.columns == docs.columns

@@ -90,6 +90,8 @@ def test_packing(spark, library):
             at += r.length
         assert at == total
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    odd = spark.createDataFrame([(None, None, 1), (4, "same", 1), (4, "same", 1), (5, "w" * 9000, 2)], "doc_id long, text string, sequence_id int")
+    assert sorted(map(str, (r.doc_id for r in packing.pack(odd).filter("start = 0").collect()))) == ["4", "4", "5", "None"]
 
 
 def test_packing_in_rounds(spark, library, monkeypatch):
