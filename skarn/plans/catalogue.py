@@ -44,7 +44,7 @@ dialect("filter_and_or_not", "SELECT c_custkey FROM customer WHERE (c_acctbal <
 dialect("filter_between", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20")
 dialect("filter_not_between", "SELECT p_partkey, p_size FROM part WHERE p_size NOT BETWEEN 10 AND 20")
 dialect("filter_in", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F')")
-dialect("filter_not_in_null", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (1, 2, NULL)")
+dialect("filter_not_in_null", "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (1, 2, NULL) OR c_nationkey IN (5, NULL)")
 dialect("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a_e%'")
 dialect("filter_not_like", "SELECT p_partkey, p_type FROM part WHERE p_type NOT LIKE 'S%' AND p_brand LIKE '%1%'")
 dialect("filter_like_escape", "SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer!_%' ESCAPE '!' OR c_name LIKE '%#0000001%'")
@@ -120,6 +120,7 @@ dialect("group_dependent_column", "SELECT n_nationkey, n_name, count(*) AS n FRO
 _WORD_FOLDED = "strip_accents(lower(split_part(text, ' ', 1)))"
 register("group_collation_es", lambda s, d: rel.group_folded(table(s, d, "documents").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("w")), "w", F.count("*").alias("n")), f"SELECT min(split_part(text, ' ', 1)) AS w, count(*) AS n FROM documents GROUP BY {_WORD_FOLDED}")
 register("distinct_collation_es", lambda s, d: rel.distinct_folded(table(s, d, "documents").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("w"), "lang"), ["w"]), f"SELECT min(split_part(text, ' ', 1)) AS w, lang FROM documents GROUP BY {_WORD_FOLDED}, lang")
+dialect("group_collation_es_sql", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents WHERE source <> 'SRC0' GROUP BY source", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents WHERE source <> 'src0' GROUP BY source", collation="es")
 dialect("filter_collation_es", "SELECT doc_id FROM documents WHERE source = 'SRC3' AND text LIKE '%QUE LÁ%' OR lang IN ('És')", "SELECT doc_id FROM documents WHERE source = 'src3' AND strip_accents(lower(text)) LIKE '%que la%' OR lang = 'es'", collation="es")
 
 # -- E: order, limit, subqueries
