@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,7 @@ from pyspark.sql import types as T
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +47,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application; a driver may know it by a path that workers don't."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _SHIPPED or not package.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    folder = fresh_dir(spark, "code")
+    files, base = pafs.FileSystem.from_uri(folder)
+    files.create_dir(base, recursive=True)
+    with files.open_output_stream(f"{base}/{package.name}.zip") as sink:
+        sink.write(packed.getvalue())
+    context.addPyFile(f"{folder}/{package.name}.zip")
+    _SHIPPED.add(context.applicationId)
+
+
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns, whatever characters their names have."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
@@ -49,6 +72,7 @@ def columns_of(df: DataFrame) -> list[Column]:
 
 def arrow_pass(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """One streaming pass of Arrow batches; no task holds more than a batch."""
+    ship_code(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
