@@ -44,7 +44,8 @@ RULES = (
     Rule("symbols_per_word", "n_symbols / n_words", None, 0.1),
     Rule("stop_words", "n_stop_words", 2.0, None),
     Rule("upper_share", "n_upper / word_chars", None, 0.4),
-    Rule("duplicate_line_share", "n_dup_lines / n_lines", None, 0.3),
+    Rule("duplicate_line_share", "n_dup_lines / n_lines", None, 0.35),
+    Rule("stutter_share", "n_stutters / n_words", None, 0.3),
     Rule("ellipsis_line_share", "n_ellipsis_lines / n_lines", None, 0.3),
     Rule("bullet_line_share", "n_bullet_lines / n_lines", None, 0.9),
 )
@@ -80,6 +81,7 @@ def measures(documents: DataFrame) -> DataFrame:
         F.expr(f"cast({_repeated_words('words')} AS bigint)").alias("n_repeat_words"),
         F.expr("cast(size(lines) AS bigint)").alias("n_lines"),
         F.expr(f"cast(size(filter(words, w -> lower(w) IN ({stop}))) AS bigint)").alias("n_stop_words"),
+        F.expr("cast(size(filter(words, (w, i) -> w = get(words, i + 1))) AS bigint)").alias("n_stutters"),
         F.expr(r"cast(length(regexp_replace(text, '[^\\p{Lu}]+', '')) AS bigint)").alias("n_upper"),
         F.expr(r"cast(size(filter(lines, l -> l rlike '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$')) AS bigint)").alias("n_ellipsis_lines"),
         F.expr(r"cast(size(filter(lines, l -> l rlike '^[\\x20\\x09-\\x0D]*[-*•]')) AS bigint)").alias("n_bullet_lines"),
@@ -117,6 +119,7 @@ m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to
   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
   len(list_filter(words, lambda w: list_contains([{", ".join(f"'{w}'" for w in STOP_WORDS)}], lower(w)))) AS n_stop_words,
+  len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutters,
   length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
   len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines,
   len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
