@@ -230,9 +230,9 @@ def stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    """Equal for equal edge sets: a count and two sums of hashes."""
+    """Equal for equal edge sets: a count, the hashes' exclusive or and a sum of their low bits."""
     h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))).first())
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(0xFFFF))).first())
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

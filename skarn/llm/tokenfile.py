@@ -137,7 +137,10 @@ def _write_batches(folder: str, tokenizer: str, width: int):
         if writer:
             writer.close()
             sink.close()
-            files.move(own, path)
+            if files.get_file_info(path).type == pafs.FileType.NotFound:
+                files.move(own, path)
+            else:  # another attempt of this task has put the same file there
+                files.delete_file(own)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.frames)], "n_tokens": [writer.tokens]})
 
     return run
