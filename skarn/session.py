@@ -478,7 +478,7 @@ class Session:
         name = r.take().value.lower()
         while r.sign("."):
             name = r.take().value.lower()
-        name = {"axiom_compat": "compat"}.get(name, name)
+        name = "compat" if name.endswith("_compat") else name
         if name == "transaction":
             name = "transaction_isolation"
             r.word("ISOLATION")
