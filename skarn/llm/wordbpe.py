@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -43,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer: str, kept: int = 300_000):
+    def __init__(self, tokenizer: str, kept: int = 700_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(resolve(tokenizer))
@@ -62,8 +62,8 @@ class WordEncoder(dict):
             self[chunk] = ids
         return ids
 
-    def _ids(self, ids) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+    def _ids(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
         return self._ids([t.id for t in self.model.tokenize(piece)])
@@ -75,11 +75,15 @@ class WordEncoder(dict):
                 return self[low]
             if chunk.isalpha():
                 return self._piece(chunk.decode())
-            if chunk[-1:] in b",." and chunk[:-1].isalpha():
-                return self[chunk[:-1]] + self[chunk[-1:]]
             text = chunk.decode()
             if _PLAIN.fullmatch(text):
-                return b"".join(self._piece(p.encode().decode("latin-1").translate(self.letters)) for p in _SPLIT.findall(text.lower()))
+                low = text.lower()
+                if low != text:
+                    return self[low.encode()]
+                if chunk[-1:] in b",." and text[:-1].isalpha():
+                    return self[chunk[:-1]] + self[chunk[-1:]]
+                pieces = [text] if text.isalpha() else _SPLIT.findall(text)
+                return b"".join(self._piece(p.encode().decode("latin-1").translate(self.letters)) for p in pieces)
         return self._ids(self.whole.encode(chunk.decode(), add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
