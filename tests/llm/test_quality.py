@@ -36,20 +36,18 @@ def test_counts_against_plain(spark):
 
 def test_verdict(spark):
     prose = "the cat sat on the mat and it was warm in there for all of us to see what came by that day at home"
-    bad = [" ".join(w + "***" for w in prose.split()), prose.upper(), " | ".join(w * 3 for w in "alpha beta gamma delta".split() * 3) + " x y z w v u t s r q"]
+    bad = [" ".join(w + "***" for w in prose.split()), prose.upper(), " ".join(w for w in prose.split() for _ in range(3)), " | ".join(w * 3 for w in "alpha beta gamma delta".split() * 3) + " x y z w v u t s r q"]
     rows = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(list(enumerate([prose, *bad])), "doc_id long, text string")).collect()}
-    assert rows == {0: True, 1: False, 2: False, 3: False}
+    assert rows == {0: True, 1: False, 2: False, 3: False, 4: False}
 
 
 def test_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rows = queries()["op2_quality"](spark, sf).join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg({"kept": "count"}).collect()
-    kept = queries()["op2_quality"](spark, sf).join(labels, "doc_id").filter("not base_failed and kept").groupBy("quality").count().collect()
-    share = {r.quality: r["count"] for r in kept}
-    whole = {r.quality: r["count(kept)"] for r in rows}
-    assert share[1] / whole[1] > 0.98
-    assert share.get(0, 0) / whole[0] < 0.2
+    counts = queries()["op2_quality"](spark, sf).join(labels, "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in counts}
+    assert n[1, True] > 50 * n.get((1, False), 0)
+    assert n[0, False] > 10 * n.get((0, True), 0)
 
 
 def test_query_against_sql(spark):
