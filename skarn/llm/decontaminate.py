@@ -32,7 +32,7 @@ from skarn.llm.common import arrow_pass, columns_of
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 _SLICE_WORDS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII letters in lower case, digits as they are, other ASCII bytes to spaces; bytes of other characters stay.
@@ -76,6 +76,10 @@ class Index:
         #: By shingle size: the distinct hashes, sorted.
         self.shingles = {size: np.unique(np.concatenate(h)) for size, h in hashes.items()}
 
+    def __getstate__(self) -> dict:
+        """What tasks need: without the windows as objects, about 200 bytes a window."""
+        return self.__dict__ | {"windows": None, "items": [tuple(names) for names in self.items]}
+
     def places(self) -> dict[int, int]:
         """Where each size's shingles begin in one numbering of all."""
         out, at = {}, 0
