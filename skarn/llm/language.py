@@ -42,8 +42,8 @@ MIN_POSTERIOR = 0.5
 TEMPER = 0.5
 #: Pseudo-counts: of a declaration or suffix given a language, of a host given its domain, of a domain given all.
 PSEUDO, HOST_WEIGHT, DOMAIN_WEIGHT = 1.0, 5.0, 20.0
-#: The flat model's loss per trigram, in nats; texts of a known language lose about 5 to 8, other texts 11 and more.
-FLAT_LOSS = 9.0
+#: The flat model's loss per trigram, as a share of the loss of a trigram that no sample has.
+FLAT_SHARE = 0.65
 _WORD = re.compile(r"[^\W\d_]+")
 _KEPT_WORDS = 200_000
 
@@ -58,7 +58,10 @@ class TrigramModel:
         """Log-likelihoods of a word's trigrams, the flat model's last."""
         s = f" {word} "
         rows = [self.scores.get(s[i : i + 3], self.unseen) for i in range(len(s) - 2)]
-        return np.append(np.sum(rows, axis=0), -FLAT_LOSS * len(rows))
+        return np.append(np.sum(rows, axis=0), self.flat() * len(rows))
+
+    def flat(self) -> float:
+        return FLAT_SHARE * float(np.mean(self.unseen)) if len(self.unseen) else 0.0
 
 
 def fit(labelled: dict[str, list[str]]) -> TrigramModel:
@@ -244,7 +247,7 @@ def brute_force(rows: list[dict], model: TrigramModel) -> list[tuple[str, float]
 
 
 def expected_loss(model: TrigramModel, text: str) -> float:
-    """Nats per trigram under the best language, to judge FLAT_LOSS."""
+    """Nats per trigram under the best language, to judge FLAT_SHARE."""
     words = _WORD.findall(text.lower())
     scores = np.sum([model.word(w) for w in words], axis=0)
     return float(-scores[:-1].max() / max(1, sum(len(w) for w in words))) if words else math.inf
