@@ -43,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer: str, kept: int = 700_000):
+    def __init__(self, tokenizer: str, kept: int = 450_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(resolve(tokenizer))
