@@ -285,7 +285,8 @@ class Session:
                 break
         where = r.expression()[0] if r.word("WHERE") else "TRUE"
         r.end()
-        where, assigned = r.bound(where), {c: r.bound(e) for c, e in assigned.items()}
+        assigned = {c: r.bound(e) for c, e in assigned.items()}
+        where = r.bound(where)
         count = table.data.filter(where).count()
         new = replace(table, data=self._versions.keep(tb.updated(table.data, {c: F.expr(e) for c, e in assigned.items()}, F.expr(where))))
         tb.validate(new, name, self._state.tables | {name: new})

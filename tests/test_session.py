@@ -150,3 +150,13 @@ def test_shell(spark):
     assert not shell.line(".quit")
     text = out.getvalue()
     assert "2 rows affected" in text and "a\n1\nNULL" in text and "error:" in text and " s\n" in text
+
+
+def test_parameters_in_dml(spark):
+    s = Session(spark)
+    s.execute("CREATE TABLE t (a INT, b TEXT)")
+    assert s.execute("INSERT INTO t VALUES (?, ?), (2, '?')", (1, "q'")) == Affected(2)
+    s.execute("INSERT INTO t SELECT a + ?, b FROM t WHERE b = ?", (10, "?"))
+    s.execute("UPDATE t SET b = ? WHERE a = ?", ("n\\ew", 2))
+    assert s.execute("DELETE FROM t WHERE a = ?", (1,)) == Affected(1)
+    assert rows(s, "SELECT a, b FROM t") == [(12, "?"), (2, "n\\ew")]
