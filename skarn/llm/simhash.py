@@ -248,12 +248,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return docs.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
+def keep_first(documents: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of documents that stay: of each component the one with the smallest id, once.
 
-    Rows without an id can't stand for a component; they are kept as they are. Of rows that share an id one stays.
+    groups has doc_id and component_id; without it the components are those of near_duplicates. Rows without an id
+    can't stand for a component; they are kept as they are. Of rows that share an id one stays.
     """
-    found = materialize(near_duplicates(documents).filter("doc_id is not null"), "components")
+    groups = near_duplicates(documents) if groups is None else groups
+    found = materialize(groups.filter("doc_id is not null"), "components")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     single = documents.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left_anti")
