@@ -1,24 +1,28 @@
 r"""Licence scans: a trained paragraph classifier, confirmed by template comparison, in DataFrame functions only.
 
-A document's paragraphs are its \n-split lines. A paragraph that holds none of the GATE stems has no feature of the
-model and is unknown by construction; the gate is a plain substring test, so nearly all text leaves there. For the
-others the words `[a-z0-9.+-]+` of the lower-cased paragraph give its distinct one- and two-word n-grams; a sparse
-multinomial logistic regression scores each licence family and the class `unknown`. A temperature, fitted on held-out
-rows, calibrates the probabilities; a family needs the wanted probability. A prediction counts as confirmed when
-enough of the two-word shingles of one of the family's templates are in the paragraph.
+A document is judged line by line (\n) and, for notices that are wrapped, window by window: a line with the lines below
+it up to REACH_WORDS words more, or to a line without words, joined. REACH_WORDS is twice the longest template, so a
+template that begins in a line lies whole in that line's window. The words `[a-z0-9.+-]+` of the lower-cased text give
+its distinct one- and two-word n-grams; a sparse multinomial logistic regression scores each licence family and the
+class `unknown`. A temperature, fitted on held-out rows, calibrates the probabilities; a family needs the wanted
+probability. A prediction counts as confirmed when enough of the two-word shingles of one of the family's templates are
+in the text. A line without an n-gram of the model is no candidate; all others are scored. A window adds a confirmed
+notice only where none of its lines confirms the same family alone; of windows that follow each other and confirm
+one family the one with the largest share counts, the last of equal ones: it begins where the notice does.
 
 The model is fitted on the driver on TRAINING_ROWS generated paragraphs with a fixed seed (templates with words
-dropped, changed and surrounded by other words; licence talk that names none) and enters the plan as literals of a
+dropped, changed and surrounded by other words; licence talk that names none; plain words) and enters the plan as literals of a
 few hundred n-grams. Scoring is one scan: no user function, no shuffle, no join.
 
-Defined cases: null and empty texts have no paragraph; repeated rows give a row each; a null doc_id stays null; a
-paragraph of any length is scored whole; an empty table gives no row; other columns are ignored.
+Defined cases: null and empty texts have no candidate; repeated rows give a row each; a null doc_id stays null; a
+line of any length is scored whole; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,13 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAINING_ROWS = 4000
+#: Further training rows, of plain words.
+PLAIN_ROWS = 2000
 MIN_PROBABILITY = 0.8
 MIN_TEMPLATE_SHARE = 0.6
 UNKNOWN = "unknown"
 _SPARSE = 2e-3
+_MAPS = 256
 _WORD = r"[a-z0-9.+-]*[a-z0-9+]"
 
-#: A paragraph without any of these has no licence in it.
+#: Every generated paragraph of the training rows, but for plain words, has one of these.
 GATE = ("licen", "copyright", "spdx", "warrant", "public domain", "all rights reserved", "redistribut", "permission is hereby", "cc0", "cc by", "creative commons", "gnu ")
 
 #: The wording by which licences are named and granted, by family.
@@ -61,6 +68,8 @@ OTHER = (
     "licensed taxi drivers only", "the licensing board met today", "permission is hereby refused", "a public domain of interest", "redistribution of wealth", "a licensed nurse under the care of the clinic",
     "the gnu is a large antelope", "license fees rose by version", "licensed under pressure", "released under the radar license", "please read the license", "see the license for details", "work licensed by the state",
 )
+#: Twice the words of the longest template.
+REACH_WORDS = 2 * max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
 FAMILIES = tuple(TEMPLATES)
 CLASSES = (UNKNOWN, *FAMILIES)
 
@@ -100,6 +109,18 @@ def examples(n: int, seed: int) -> list[tuple[str, int]]:
     return rows
 
 
+def plain_words(n: int, seed: int) -> list[tuple[str, int]]:
+    """Paragraphs of other words among which single words of the templates stand by chance: unknown."""
+    rng, rows = random.Random(seed), []
+    known = sorted({w for ts in TEMPLATES.values() for t in ts for w in t.split()})
+    for _ in range(n):
+        words = [_filler(rng) for _ in range(rng.randint(3, 30))]
+        for w in rng.sample(known, rng.randint(1, 3)):
+            words.insert(rng.randrange(len(words) + 1), w)
+        rows.append((" ".join(words).capitalize() + ".", 0))
+    return rows
+
+
 @dataclass
 class Model:
     weights: dict[str, list[float]]
@@ -114,8 +135,9 @@ class Model:
 @lru_cache(maxsize=1)
 def model(seed: int = 5) -> Model:
     """Proximal gradient descent with an L1 term; the temperature is the best of a grid on held-out rows."""
-    rows = examples(TRAINING_ROWS, seed)
-    fit, held = rows[: TRAINING_ROWS * 3 // 4], rows[TRAINING_ROWS * 3 // 4 :]
+    rows = examples(TRAINING_ROWS, seed) + plain_words(PLAIN_ROWS, seed)
+    random.Random(seed).shuffle(rows)
+    fit, held = rows[: len(rows) * 3 // 4], rows[len(rows) * 3 // 4 :]
     counts: dict[str, int] = {}
     for text, _ in fit:
         for g in grams_of(text):
@@ -154,18 +176,9 @@ def model(seed: int = 5) -> Model:
     return Model({vocabulary[i]: [round(float(v), 4) for v in w[i]] for i in used}, [round(float(v), 4) for v in b], float(temperature))
 
 
-def _grams(paragraph: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({_WORD})"), 1)
+def _grams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(words, pairs))
-
-
-def _passes(text: Column) -> Column:
-    low = F.lower(text)
-    out = low.contains(GATE[0])
-    for stem in GATE[1:]:
-        out = out | low.contains(stem)
-    return out
+    return F.concat(words, pairs)
 
 
 def _array(values, kind: str) -> Column:
@@ -173,38 +186,103 @@ def _array(values, kind: str) -> Column:
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """doc_id, found: for each paragraph that passes the gate its line, text, family, probability and confirmation."""
+    """doc_id, found: for each line with a feature, then for each wrapped notice, its line, text, family, probability and confirmation."""
     fitted = model()
-    weights = F.map_from_arrays(_array(fitted.weights, "string"), F.array(*(_array(v, "double") for v in fitted.weights.values())))
-    zero, bias, classes = _array([0.0] * len(CLASSES), "double"), _array(fitted.bias, "double"), _array(CLASSES, "string")
-    templates = F.array(*(F.struct(F.lit(f).alias("family"), _array([g for g in grams_of(t) if " " in g], "string").alias("pairs")) for f, ts in TEMPLATES.items() for t in ts))
+    dealt: list[dict] = [{} for _ in range(_MAPS)]  # a map is searched from end to end, so many small ones
+    for g, v in fitted.weights.items():
+        dealt[zlib.crc32(g.encode()) % _MAPS][g] = v
+    weights = F.array(*(F.map_from_arrays(_array(m, "string"), F.array(*(_array(v, "double") for v in m.values())).cast("array<array<double>>")) for m in dealt))
+    bias, classes = _array(fitted.bias, "double"), _array(CLASSES, "string")
+    pairs_of = {f: [[g for g in grams_of(t) if " " in g] for t in ts] for f, ts in TEMPLATES.items()}
+    templates = F.array(*(F.struct(F.lit(f).alias("family"), _array(pairs, "string").alias("pairs")) for f, ts in pairs_of.items() for pairs in ts))
+    every = _array(dict.fromkeys(g for ts in pairs_of.values() for pairs in ts for g in pairs), "string")
+    wanted = _array(dict.fromkeys([*fitted.weights, *(g for ts in pairs_of.values() for pairs in ts for g in pairs)]), "string")
 
     def bound(value: Column, use) -> Column:
         """use(value), with value computed once."""
         return F.element_at(F.transform(F.array(value), use), 1)
 
-    def confirmed(grams: Column, family: Column) -> Column:
-        return F.exists(templates, lambda t: (t["family"] == family) & (F.size(F.array_intersect(t["pairs"], grams)) >= F.size(t["pairs"]) * MIN_TEMPLATE_SHARE))
+    def share(grams: Column, family: Column) -> Column:
+        """The largest part of a template of the family that is there."""
+        own = F.filter(templates, lambda t: t["family"] == family)
+        return F.coalesce(F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t["pairs"], grams)) / F.size(t["pairs"]))), F.lit(0.0))
+
+    def near(grams: Column) -> Column:
+        """Whether enough of any template is there; only then can a family be confirmed."""
+
+        def enough(pairs):
+            return F.exists(templates, lambda t: F.size(F.array_intersect(t["pairs"], pairs)) >= F.size(t["pairs"]) * MIN_TEMPLATE_SHARE)
+
+        return bound(F.filter(grams, lambda g: g.contains(" ")), lambda pairs: bound(F.array_intersect(pairs, every), lambda own: (F.size(own) > 0) & enough(own)))
+
+    def judged(grams: Column) -> Column:
+        """family, probability, the template's share and whether the n-grams have a feature of the model."""
 
-    def judged(line: Column, text: Column) -> Column:
         def by_grams(grams):
-            logits = F.aggregate(grams, bias, lambda acc, g: F.zip_with(acc, F.coalesce(F.element_at(weights, g), zero), lambda a, b: a + b))
+            known = F.filter(F.transform(grams, lambda g: F.element_at(F.get(weights, (F.crc32(g.cast("binary")) % _MAPS).cast("int")), g)), lambda w: w.isNotNull())
+            logits = F.aggregate(known, bias, lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
 
             def by_logits(z):
                 top = F.array_max(z)
                 total = F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp((v - top) / fitted.temperature))
-                family = F.element_at(classes, F.array_position(z, top).cast("int"))
-                sure = F.when(1 / total >= MIN_PROBABILITY, family).otherwise(UNKNOWN)
-                return F.struct(line.alias("line"), text.alias("text"), sure.alias("family"), (1 / total).alias("probability"), confirmed(grams, sure).alias("confirmed"))
+                likely = F.struct((1 / total).alias("p"), F.element_at(classes, F.array_position(z, top).cast("int")).alias("family"))
+
+                def by_likely(x):
+                    known = (x["p"] >= MIN_PROBABILITY) & (x["family"] != UNKNOWN)
+                    return F.struct(F.when(known, x["family"]).otherwise(UNKNOWN).alias("family"), x["p"].alias("probability"), F.when(known, share(grams, x["family"])).otherwise(0.0).alias("share"), (z != bias).alias("featured"))
+
+                return bound(likely, by_likely)
 
             return bound(logits, by_logits)
 
-        return bound(_grams(text), by_grams)
+        return bound(grams, by_grams)
+
+    def tokens(text: Column) -> Column:
+        """Of a line: the count of its words, its first and last word and its distinct n-grams that a model or template has."""
+        words = F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), 1)
+        return bound(words, lambda w: F.struct(F.size(w).alias("size"), F.get(w, F.lit(0)).alias("head"), F.get(w, F.size(w) - 1).alias("tail"), F.array_intersect(_grams(w), wanted).alias("grams")))
+
+    def window(line: Column) -> Column:
+        """grams, n: the n-grams of a line joined with those below it, as far as its window goes, and how many lines these are."""
+        own = F.get("tokens", line)
+        start = F.struct(own["grams"].alias("grams"), own["tail"].alias("tail"), F.lit(1).alias("n"), F.lit(0).alias("below"), F.lit(False).alias("over"))
+
+        def add(acc, more):
+            over = acc["over"] | (more["size"] == 0) | (acc["below"] >= REACH_WORDS)
+            grams = F.concat(acc["grams"], F.array(F.concat(acc["tail"], F.lit(" "), more["head"])), more["grams"])
+            return F.when(over, F.struct(acc["grams"].alias("grams"), acc["tail"].alias("tail"), acc["n"].alias("n"), acc["below"].alias("below"), F.lit(True).alias("over"))).otherwise(
+                F.struct(grams.alias("grams"), more["tail"].alias("tail"), (acc["n"] + 1).alias("n"), (acc["below"] + more["size"]).alias("below"), F.lit(False).alias("over"))
+            )
+
+        size = lambda k: F.coalesce(F.get("tokens", line + k)["size"], F.lit(0))
+        lines = F.when((size(1) >= REACH_WORDS) | (size(2) == 0), 1).when((size(1) + size(2) >= REACH_WORDS) | (size(3) == 0), 2).otherwise(REACH_WORDS)  # so many at most
+        return F.aggregate(F.slice("tokens", line + 2, lines), start, add)
+
+    def wrapped(line: Column) -> Column:
+        """n, judged: of a line's window, null for a window of that line alone."""
+        several = (F.get("tokens", line)["size"] > 0) & (F.coalesce(F.get("tokens", line + 1)["size"], F.lit(0)) > 0)
+        return F.when(several, bound(window(line), lambda w: F.when(near(w["grams"]), F.struct(w["n"].alias("n"), judged(F.array_distinct(w["grams"])).alias("judged")))))
+
+    def kept(line: Column, w: Column) -> Column:
+        own = w["judged"]
+
+        def same(x):
+            return F.coalesce((x["share"] >= MIN_TEMPLATE_SHARE) & (x["family"] == own["family"]), F.lit(False))
+
+        above, below = F.get("windows", line - 1)["judged"], F.get("windows", line + 1)["judged"]
+        alone = F.exists(F.slice("judged", line + 1, w["n"]), same)
+        return F.coalesce(same(own) & ~alone & ~(same(below) & (below["share"] >= own["share"])) & ~(same(above) & (above["share"] > own["share"])), F.lit(False))
+
+    def entry(line: Column, text: Column, x: Column) -> Column:
+        return F.struct(line.alias("line"), text.alias("text"), x["family"].alias("family"), x["probability"].alias("probability"), (x["share"] >= MIN_TEMPLATE_SHARE).alias("confirmed"))
 
-    lines = F.transform(F.split("text", "\n"), lambda text, line: F.struct(line.alias("line"), text.alias("text")))
-    near = F.when(_passes(F.col("text")), F.filter(lines, lambda x: _passes(x["text"])))
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.coalesce(near, F.array().cast("array<struct<line:int,text:string>>")).alias("near"))
-    return base.select("doc_id", F.transform("near", lambda x: judged(x["line"], x["text"])).alias("found"))
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
+    split = base.select("doc_id", "lines", F.transform("lines", tokens).alias("tokens"))
+    single = split.select("*", F.transform("tokens", lambda t: judged(t["grams"])).alias("judged"))
+    whole = single.select("*", F.transform("tokens", lambda _, i: wrapped(i)).alias("windows"))
+    ones = F.filter(F.transform("judged", lambda x, i: F.when(x["featured"], entry(i, F.get("lines", i), x))), lambda x: x.isNotNull())
+    more = F.filter(F.transform("windows", lambda w, i: F.when(kept(i, w), entry(i, F.array_join(F.slice("lines", i + 1, w["n"]), "\n"), w["judged"]))), lambda x: x.isNotNull())
+    return whole.select("doc_id", F.concat(ones, more).alias("found"))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -216,6 +294,6 @@ def scan(documents: DataFrame) -> DataFrame:
         F.size("found").cast("long").alias("n_candidates"),
         F.size(sure).cast("long").alias("n_licences"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
-        F.element_at(F.concat(F.transform(sure, lambda x: x["line"]), F.array(F.lit(-1))), 1).cast("long").alias("first_line"),
+        F.coalesce(F.array_min(F.transform(sure, lambda x: x["line"])), F.lit(-1)).cast("long").alias("first_line"),
         F.size(unsure).cast("long").alias("n_unconfirmed"),
     )

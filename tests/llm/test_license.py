@@ -51,3 +51,20 @@ def test_query_is_native(spark):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert frame.filter("n_licences > 0").count() > 0
+
+
+def test_wrapped_notices(spark):
+    rows = [
+        ("mpl", 0, "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"),
+        ("mpl", 1, "Some prose goes before it.\nThis is subject to the\nterms of the Mozilla\nPublic License, v. 2.0.\nAnd some prose after it."),
+        ("isc", 2, "Copyright (c) 2020 A B\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+        ("bsd", 2, "Copyright (c) 2020, A B\n\nRedistribution and use in source and binary\nforms, with or without modification, are\npermitted provided that the following\nconditions are met:"),
+        ("", -1, "The terms of the\n\nMozilla\n\nPublic wrote this in a free\nstyle."), ("", -1, "Er kam mit der Bahn und\nging mit ihr nach Haus."),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scan(frame).collect()}
+    assert [(got[i].families, got[i].first_line, got[i].n_licences) for i in range(len(rows))] == [(f, line, int(line >= 0)) for f, line, _ in rows]
+    assert got[5].n_unconfirmed == 0
+    lines = [line for _, _, t in rows for line in t.split("\n")]
+    featured = sum(any(g in lic.model().weights for g in lic.grams_of(line)) for line in lines)
+    assert sum(r.n_candidates for r in got.values()) >= featured
