@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.common import arrow_pass, columns_of, materialize
@@ -46,6 +46,7 @@ PSEUDO, HOST_WEIGHT, DOMAIN_WEIGHT = 1.0, 5.0, 20.0
 FLAT_SHARE = 0.65
 _WORD = re.compile(r"[^\W\d_]+")
 _KEPT_WORDS = 200_000
+_PARTS = 64
 
 
 @dataclass
@@ -76,16 +77,19 @@ def fit(labelled: dict[str, list[str]]) -> TrigramModel:
 def labelled_sample(documents: DataFrame) -> dict[str, list[str]]:
     """Texts of at most SAMPLE_PER_LANGUAGE documents per language, those with the smallest hashes of their ids.
 
-    The ids are chosen from the narrow columns; their texts are then fetched by id.
+    Every declared language has its sample. The ids are chosen from the narrow columns, one row per distinct id and
+    language; their texts are then fetched by id, of repeated rows the smallest text.
     """
     named = documents.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", F.lower(F.col("lang").cast("string")).alias("lang"))
-    languages = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    ids = [r.doc_id for k in languages for r in named.filter(F.col("lang") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_LANGUAGE).collect()]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    part = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))  # so that no task ranks all rows of a language
+    hashed = named.distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(_PARTS)))
+    first = hashed.withColumn("n", part).filter(F.col("n") <= SAMPLE_PER_LANGUAGE).withColumn("n", place).filter(F.col("n") <= SAMPLE_PER_LANGUAGE)
+    chosen = materialize(first.select("doc_id", "lang"), "labelled-ids")
     out: dict[str, list[str]] = {}
-    if ids:
-        for r in documents.filter(F.col("doc_id").isin(ids)).select(F.lower(F.col("lang").cast("string")).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "doc_id").orderBy("doc_id", "text").limit(2 * len(ids)).collect():
-            if r.lang is not None and r.text is not None:
-                out.setdefault(r.lang, []).append(r.text)
+    rows = documents.filter("text is not null").select("doc_id", F.lower(F.col("lang").cast("string")).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(chosen, ["doc_id", "lang"], "left_semi")
+    for r in rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").toLocalIterator():
+        out.setdefault(r.lang, []).append(r.text)
     return out
 
 

@@ -55,3 +55,13 @@ def test_empty(spark):
     assert language.identify(language.evidence_of_documents(documents), model).count() == 0
     other = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     assert [r.language for r in language.identify(language.evidence_of_documents(other), model).collect()] == ["und"]
+
+
+def test_sample_has_every_language_and_repeated_ids(spark):
+    rows = [(i, f"text of language {i % 70}", f"l{i % 70}") for i in range(140)]
+    rows += [(7, f"copy {i}", "l7") for i in range(600)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.labelled_sample(documents)
+    assert set(got) == {f"l{k}" for k in range(70)}
+    assert all(len(v) == 2 for v in got.values())
+    assert sorted(got["l7"]) == ["copy 0", "text of language 7"]
