@@ -115,7 +115,8 @@ class _Scorer(dict):
 
 
 _TAGS = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
+_HTML_TAG = re.compile(r"<html\b[^>]*", re.I)
+_DECLARED = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
 
 
 def text_of_html(source: str | None) -> str:
@@ -123,8 +124,9 @@ def text_of_html(source: str | None) -> str:
 
 
 def declared_in_html(source: str | None) -> str:
-    found = _DECLARED.search(source[:4096]) if source else None
-    return found[1].lower() if found else ""
+    """The language of the first <html> tag with one, wherever it stands; each tag is passed once."""
+    found = (_DECLARED.search(source, *m.span()) for m in _HTML_TAG.finditer(source or ""))
+    return next((f[1].lower() for f in found if f), "")
 
 
 def evidence_of_documents(documents: DataFrame) -> DataFrame:

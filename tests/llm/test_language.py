@@ -65,3 +65,9 @@ def test_sample_has_every_language_and_repeated_ids(spark):
     assert set(got) == {f"l{k}" for k in range(70)}
     assert all(len(v) == 2 for v in got.values())
     assert sorted(got["l7"]) == ["copy 0", "text of language 7"]
+
+
+def test_declaration_after_a_long_banner():
+    page = "<!-- " + "banner " * 2000 + "-->\n<html lang=fr><p>x</p></html>"
+    assert language.declared_in_html(page) == "fr"
+    assert language.declared_in_html("<html " * 20000) == ""
