@@ -109,7 +109,7 @@ dialect("agg_empty", "SELECT count(*) AS n, sum(p_size) AS s, min(p_name) AS m,
 dialect("group_concat_basic", "SELECT n_regionkey, GROUP_CONCAT(n_name ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 dialect("group_concat_sep", "SELECT n_regionkey, GROUP_CONCAT(n_nationkey ORDER BY n_nationkey DESC SEPARATOR ' | ') AS ids FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(CAST(n_nationkey AS VARCHAR), ' | ' ORDER BY n_nationkey DESC) AS ids FROM nation GROUP BY n_regionkey")
 dialect("group_concat_distinct", "SELECT p_brand, GROUP_CONCAT(DISTINCT p_type ORDER BY p_type SEPARATOR '|') AS types FROM part GROUP BY p_brand", "SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS types FROM part GROUP BY p_brand")
-dialect("group_concat_order", "SELECT o_custkey, GROUP_CONCAT(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks FROM orders WHERE o_custkey < 50 GROUP BY o_custkey", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS ks FROM orders WHERE o_custkey < 50 GROUP BY o_custkey")
+dialect("group_concat_order", "SELECT o_custkey, GROUP_CONCAT(o_orderkey ORDER BY o_totalprice DESC, o_orderkey) AS ks FROM orders GROUP BY o_custkey", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_totalprice DESC, o_orderkey) AS ks FROM orders GROUP BY o_custkey")
 register("group_concat_frame", lambda s, d: table(s, d, "part").groupBy("p_brand").agg(rel.group_concat("p_size", "-", distinct=True, order="p_size", descending=True).alias("sizes")), "SELECT p_brand, string_agg(CAST(p_size AS VARCHAR), '-' ORDER BY p_size DESC) AS sizes FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY p_brand")
 dialect("group_concat_nulls", "SELECT d.lang AS lang, d.source AS source, GROUP_CONCAT(l.quality ORDER BY l.quality) AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang, d.source", "SELECT d.lang AS lang, d.source AS source, string_agg(CAST(l.quality AS VARCHAR), ',' ORDER BY l.quality) AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang, d.source")
 dialect("string_agg", "SELECT r_regionkey, string_agg(r_name, ';') AS names FROM region GROUP BY r_regionkey")

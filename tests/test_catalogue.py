@@ -32,3 +32,9 @@ def test_query_against_oracle(spark, oracle, name):
     want = sorted((tuple(_plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
     assert got == want
     assert got
+
+
+def test_group_concat_order_covers_all_customers(spark, oracle):
+    want = oracle.execute("SELECT count(DISTINCT o_custkey), count(*) FROM orders").fetchone()
+    rows = registry.queries()["group_concat_order"](spark, SF).collect()
+    assert (len(rows), sum(len(r.ks.split(",")) for r in rows)) == want
