@@ -125,10 +125,10 @@ dialect("filter_collation_es", "SELECT doc_id FROM documents WHERE source = 'SRC
 
 # -- E: order, limit, subqueries
 
-dialect("order_multi", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 50", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey LIMIT 50")
-dialect("order_nulls_default", "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id LIMIT 20", "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id NULLS LAST LIMIT 20")
-dialect("order_nulls_explicit", "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS LAST, d.doc_id LIMIT 20")
-dialect("order_expr", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice * -1, p_partkey LIMIT 30")
+dialect("order_multi", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey")
+dialect("order_nulls_default", "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC, d.doc_id", "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS FIRST, d.doc_id NULLS LAST")
+dialect("order_nulls_explicit", "SELECT d.doc_id AS k, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality DESC NULLS LAST, d.doc_id")
+dialect("order_expr", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice * -1, p_partkey")
 dialect("order_grouped", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey ORDER BY count(*) DESC, c_nationkey LIMIT 7")
 dialect("limit_only", "SELECT r_name FROM region LIMIT 100")
 dialect("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")

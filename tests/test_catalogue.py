@@ -38,3 +38,15 @@ def test_group_concat_order_covers_all_customers(spark, oracle):
     want = oracle.execute("SELECT count(DISTINCT o_custkey), count(*) FROM orders").fetchone()
     rows = registry.queries()["group_concat_order"](spark, SF).collect()
     assert (len(rows), sum(len(r.ks.split(",")) for r in rows)) == want
+
+
+@pytest.mark.parametrize("name, of", [("order_multi", "customer"), ("order_nulls_default", "documents"), ("order_nulls_explicit", "documents"), ("order_expr", "part")])
+def test_order_queries_return_the_whole_table_in_order(spark, oracle, name, of):
+    got = registry.queries()[name](spark, SF)
+    result = oracle.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    rows = [tuple(r[c] for c in names) for r in got.collect()]
+    assert rows == result.fetchall()
+    assert len(rows) >= oracle.execute(f"SELECT count(*) FROM {of}").fetchone()[0]
+    if "nulls" in name:
+        assert {q is None for _, q in rows} == {True, False}
