@@ -58,6 +58,8 @@ _GENERATORS = {
     "ipv6": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     "mac": re.compile(r"(?<![0-9A-Za-z:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])"),
 }
+#: Kinds that match without a digit; all of them need a colon or a hyphen.
+_DIGITLESS = ("ipv6", "mac")
 #: Key words of a proposal's context, by feature.
 _WORDS = {
     "secret": ("token", "secret", "key", "passw", "pwd", "credential", "auth", "bearer"),
@@ -115,9 +117,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """What the generators of the added kinds propose; overlaps are wanted."""
-    if not _DIGIT.search(text):
-        return []
-    return [(kind, *m.span()) for kind, pattern in _GENERATORS.items() for m in pattern.finditer(text)]
+    generators = _GENERATORS if _DIGIT.search(text) else {k: _GENERATORS[k] for k in _DIGITLESS} if ":" in text or "-" in text else {}
+    return [(kind, *m.span()) for kind, pattern in generators.items() for m in pattern.finditer(text)]
 
 
 def _mod97(s: str) -> bool:

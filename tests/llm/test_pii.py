@@ -65,3 +65,9 @@ def test_added_spans_and_redaction(spark):
     assert texts[1] == f'Thstorti token = "<SECRET>" thhantou with. Mail <EMAIL> now; commit {key}.'
     assert texts[2] is None and texts[3] == "" and texts[None] == "clean prose of words"
     assert pii.detect(frame.limit(0)).count() == 0
+
+
+def test_addresses_of_letters_only():
+    for text in ("mac de:ad:be:ef:ca:fe of the server", "host fe:ab::cd:ef here"):
+        assert pii.proposals(text) == [p for p in pii.proposals(text + " in room 7") if p[2] <= len(text)] != []
+    assert pii.proposals("clean prose: well-known words") == []
