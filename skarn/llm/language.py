@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from skarn.llm.common import arrow_pass, columns_of, materialize
 
 SAMPLE_PER_LANGUAGE = 500
-SAMPLE_CHARS = 4000
 UNDETERMINED = "und"
 MIN_POSTERIOR = 0.5
 TEMPER = 0.5
@@ -67,7 +66,7 @@ class TrigramModel:
 
 def fit(labelled: dict[str, list[str]]) -> TrigramModel:
     languages = sorted(labelled)
-    counts = [Counter(s[i : i + 3] for t in labelled[k] for w in _WORD.findall(t[:SAMPLE_CHARS].lower()) if (s := f" {w} ") for i in range(len(s) - 2)) for k in languages]
+    counts = [Counter(s[i : i + 3] for t in labelled[k] for w in _WORD.findall(t.lower()) if (s := f" {w} ") for i in range(len(s) - 2)) for k in languages]
     known = set().union(*counts) if counts else set()
     total = np.array([sum(c.values()) for c in counts], dtype=float) + 0.5 * (len(known) + 1)
     scores = {g: np.log((np.array([c[g] for c in counts]) + 0.5) / total) for g in known}
@@ -87,7 +86,7 @@ def labelled_sample(documents: DataFrame) -> dict[str, list[str]]:
     first = hashed.withColumn("n", part).filter(F.col("n") <= SAMPLE_PER_LANGUAGE).withColumn("n", place).filter(F.col("n") <= SAMPLE_PER_LANGUAGE)
     chosen = materialize(first.select("doc_id", "lang"), "labelled-ids")
     out: dict[str, list[str]] = {}
-    rows = documents.filter("text is not null").select("doc_id", F.lower(F.col("lang").cast("string")).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(chosen, ["doc_id", "lang"], "left_semi")
+    rows = documents.filter("text is not null").select("doc_id", F.lower(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string").alias("text")).join(chosen, ["doc_id", "lang"], "left_semi")
     for r in rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").toLocalIterator():
         out.setdefault(r.lang, []).append(r.text)
     return out

@@ -71,3 +71,9 @@ def test_declaration_after_a_long_banner():
     page = "<!-- " + "banner " * 2000 + "-->\n<html lang=fr><p>x</p></html>"
     assert language.declared_in_html(page) == "fr"
     assert language.declared_in_html("<html " * 20000) == ""
+
+
+def test_sampled_texts_are_whole(spark):
+    text = "the " * 1500 + "zyx"
+    model = language.fit(language.labelled_sample(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")))
+    assert "zyx" in model.scores
