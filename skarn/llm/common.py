@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written intermediate tables, Arrow passes and word rules."""
+"""What the operators share: the shared folder, written intermediate tables, joins of hot keys, Arrow passes and word rules."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,11 +27,14 @@ _SHIPPED: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the cluster names none (tests on one machine), one folder of this process is used.
+    Where it is unset, a folder of this process stands in on one machine (tests); on a cluster that is an error, as
+    executors wouldn't see it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="skarn-")
     return _LOCAL["dir"]
@@ -39,12 +44,79 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+_SCOPES: list[list[str]] = []
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. keep: beyond scratch."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_at = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing reads it any more."""
+    delete(written.sparkSession, written.written_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is materialized inside is deleted at the end; only results that are written outside may outlive it."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it. Schemes that pyarrow knows, and s3a as s3."""
+    return pafs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith("s3a:") else folder)
+
+
+#: At most so many keys count as hot, a key needs so many rows to be one, and all of them together get so many salts.
+HOT_KEYS = 1000
+HOT_ROWS = 256
+HOT_SALTS = 10_000
+
+
+def join_hot(large: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """large joined with small, which has a row per key; rows of a hot key are dealt over many tasks.
+
+    counts has the keys and n, the rows of large by key. The HOT_KEYS keys with the most rows are looked at; those with
+    over HOT_ROWS rows get salts in proportion to their rows, HOT_SALTS in all, and their rows of small are copied to
+    each salt. So small grows by HOT_SALTS rows at most, and the table of salts, which is broadcast, has HOT_KEYS rows
+    at most, whatever the data. Repeated rows are dealt too, as the salt is of a row's place and not of its values.
+    how is inner, left or left_anti.
+    """
+    top = counts.filter(F.col("n") > HOT_ROWS).select(*keys, "n").orderBy(F.desc("n")).limit(HOT_KEYS).collect()
+    if not top:
+        return large.join(small, keys, how)
+    a_salt = max(HOT_ROWS, sum(r["n"] for r in top) / HOT_SALTS)
+    rows = [(*(r[k] for k in keys), int(-(-r["n"] // a_salt))) for r in top]
+    names = [f"_hot{i}" for i in range(len(keys))]
+    schema = T.StructType([T.StructField(n, counts.schema[k].dataType) for n, k in zip(names, keys, strict=True)] + [T.StructField("_salts", T.IntegerType())])
+    salts = F.broadcast(large.sparkSession.createDataFrame(rows, schema))
+
+    def with_salts(side: DataFrame) -> DataFrame:
+        same = [side[k] == salts[n] for k, n in zip(keys, names, strict=True)]
+        return side.join(salts, reduce(Column.__and__, same), "left").drop(*names)
+
+    place = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    dealt = with_salts(large).withColumn("_salt", F.coalesce(F.pmod(place, F.col("_salts").cast("long")), F.lit(0).cast("long"))).drop("_salts")
+    copies = with_salts(small).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("long")))).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -57,7 +129,7 @@ def ship_code(spark: SparkSession) -> None:
         for source in sorted(package.rglob("*.py")):
             archive.write(source, source.relative_to(package.parent))
     folder = fresh_dir(spark, "code")
-    files, base = pafs.FileSystem.from_uri(folder)
+    files, base = filesystem(folder)
     files.create_dir(base, recursive=True)
     with files.open_output_stream(f"{base}/{package.name}.zip") as sink:
         sink.write(packed.getvalue())
@@ -70,6 +142,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def content_key(*values: Column) -> list[Column]:
+    """k1, k2: 128 bits of the values. Rows of one key are alike to an operator that reads these values only."""
+    return [F.xxhash64(F.lit(seed), *values, *(v.isNull() for v in values)).alias(f"k{seed}") for seed in (1, 2)]
+
+
 def arrow_pass(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """One streaming pass of Arrow batches; no task holds more than a batch."""
     ship_code(df.sparkSession)

@@ -10,15 +10,22 @@ is replicated to each anchor within radius 1 plus threshold 1, 17 of the 2^27 an
 x, y meets at the home anchor of x, in the half where they differ in one bit at most.
 
 Equal fingerprints are collapsed before replication, by a partial aggregate, so groups of exact copies cost one
-row. Anchors that are home to many fingerprints are split by the 16-bit quarters of the fingerprint: two
-fingerprints within three bits agree in one quarter at least, so the split loses no link. At an anchor the links
-found are reported as a spanning forest, at most one row per member, never as all pairs.
+row. Members of anchors that are no fingerprint's home go at once. Anchors with many members are split by the 16-bit
+quarters of the fingerprint: two fingerprints within three bits agree in one quarter at least, so the split loses no
+link. What is still larger than CELL is dealt into a grid of cells, homes by rows and members by columns, so that every
+home meets every member in one cell and no task holds more than about 2 * CELL fingerprints of a group. In a cell homes
+are compared with members, and the links found are a spanning forest of theirs, never all pairs.
 
-Components come from rounds of large-star and small-star contraction on written edge tables.
+Components come from rounds of large-star and small-star contraction on written edge tables. Joins on keys that may
+be hot (a fingerprint with many copies, the root of a large component) deal the rows of such a key over many tasks.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text of one or two words
-has one shingle, the whole sequence; repeated rows and repeated ids each give a row; a null doc_id gives a row whose
-component_id is the smallest id of its component, null if the component has none. Other columns are ignored.
+has one shingle, the whole sequence; a very long text is read whole, its hashes in chunks; repeated rows and repeated
+ids each give a row; a null doc_id gives a row whose component_id is the smallest id of its component, null if the
+component has none; an empty table gives no row. Other columns are ignored.
+
+`keep_first` decides row by row: rows are told apart by id and text, so of rows that share an id but not a text each
+goes or stays by its own component.
 """
 
 from __future__ import annotations
@@ -30,16 +37,18 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_pass, ascii_lower_words, columns_of, materialize
+from skarn.llm.common import arrow_pass, ascii_lower_words, columns_of, content_key, discard, join_hot, materialize
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
-#: An anchor that is home to more fingerprints than this is split by quarters.
+#: An anchor with more members than this is split by quarters.
 HOT_ANCHOR = 4096
+#: A group with more members than this is dealt into a grid of cells.
+CELL = 4096
 _CHUNK = 1 << 16
 _LOW31 = np.uint64((1 << 31) - 1)
 
@@ -64,13 +73,14 @@ def simhash(text: str | None) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.fromiter(map(simhash, (x.as_py() for x in batch.column(1))), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        prints = np.fromiter(map(simhash, (x.as_py() for x in batch.column(3))), dtype=np.uint64, count=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(prints.view(np.int64))], names=["doc_id", "k1", "k2", "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed long."""
-    return arrow_pass(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprint_batches, "doc_id long, fp long")
+    """doc_id, k1, k2, fp: the text's key, and the fingerprint's 64 bits as a signed long."""
+    text = F.col("text").cast("string")
+    return arrow_pass(documents.select(F.col("doc_id").cast("long").alias("doc_id"), *content_key(text), text.alias("text")), _fingerprint_batches, "doc_id long, k1 long, k2 long, fp long")
 
 
 def _parity_positions(x: np.ndarray) -> np.ndarray:
@@ -106,13 +116,13 @@ def _anchor_batches(homes_only: bool):
                 if homes_only:
                     anchors, there = anchors[:, :1], there[:, :1]
                 row, column = np.nonzero(there)
-                anchor = anchors[row, column] | np.uint64(side << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(prints[row].view(np.int64)), pa.array(column == 0)], names=["anchor", "fp", "home"])
+                anchor = (anchors[row, column] | np.uint64(side << 32)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor)] if homes_only else [pa.array(anchor), pa.array(prints[row].view(np.int64)), pa.array(column == 0)], names=["anchor"] if homes_only else ["anchor", "fp", "home"])
 
     return run
 
 
-class _Forest:
+class Forest:
     """Union-find over positions of an array."""
 
     def __init__(self, n: int):
@@ -131,142 +141,166 @@ class _Forest:
         return a != b
 
 
-def _grown(prints: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints, by breadth-first search."""
-    links, left = [], np.arange(len(prints))
-    while len(left):
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            i = front.pop()
-            near = np.bitwise_count(prints[left] ^ prints[i]) <= MAX_BITS
-            if near.any():
-                links += [(i, j) for j in left[near]]
-                front += list(left[near])
-                left = left[~near]
+def cell_links(homes: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
+    """Links (home, member) that connect all that the links of these homes with these members connect."""
+    nodes, members = np.unique(np.concatenate([homes, members])), np.unique(members)
+    places = np.searchsorted(nodes, members)
+    label, links = np.arange(len(nodes)), []
+    for p in np.unique(np.searchsorted(nodes, homes)).tolist():
+        near = places[(np.bitwise_count(members ^ nodes[p]) <= MAX_BITS) & (label[places] != label[p])]
+        if len(near):
+            others, first = np.unique(label[near], return_index=True)
+            links += [(int(nodes[p]), int(nodes[q])) for q in near[first]]
+            label[np.isin(label, others)] = label[p]
     return links
 
 
-def forest(prints: np.ndarray) -> list[tuple[int, int]]:
-    """Positions of links that connect what links connect; large sets are searched quarter by quarter."""
-    if len(prints) <= HOT_ANCHOR:
-        return _grown(prints)
-    known, links = _Forest(len(prints)), []
-    for quarter in range(4):
-        key = (prints >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)
-        order = np.argsort(key, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            if len(own) > 1:
-                links += [(a, b) for i, j in _grown(prints[own]) if known.join(a := int(own[i]), b := int(own[j]))]
-    return links
+_HOME, _MEMBER = 1, 2
+_GROUP = ("anchor", "part", "across", "down")
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key, so that a key's rows follow each other; only the last key of a batch is carried on."""
+    """Rows come sorted by group, so that a group's rows follow each other; only the last group of a batch is carried on."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     rest: list[np.ndarray] = []
 
-    def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
-        starts = np.concatenate([[0], cuts])
-        sizes = np.diff(np.append(starts, len(fp)))
-        useful = np.flatnonzero((sizes > 1) & (np.add.reduceat(home, starts) > 0))
-        a, b = [], []
-        two = useful[sizes[useful] == 2]
-        x, y = fp[starts[two]], fp[starts[two] + 1]
-        near = (np.bitwise_count(x ^ y) <= MAX_BITS) & (x != y)
-        a.append(x[near]), b.append(y[near])
-        for k in useful[sizes[useful] > 2]:
-            own = np.unique(fp[starts[k] : starts[k] + sizes[k]])
-            if found := forest(own):
-                i, j = np.array(found).T
-                a.append(own[i]), b.append(own[j])
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+    def links(key: np.ndarray, fp: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+        starts = np.concatenate([[0], np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1])
+        ends = np.append(starts[1:], len(fp))
+        found = []
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            if end - start > 1:
+                own, kind = fp[start:end], role[start:end]
+                found += cell_links(own[kind & _HOME > 0], own[kind & _MEMBER > 0])
+        a, b = (np.array(found, dtype=np.uint64).T if found else np.zeros((2, 0), dtype=np.uint64)).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = [np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)]
-        key, fp, home = [np.concatenate(x) for x in zip(rest, part, strict=True)] if rest else part
+        column = lambda i: batch.column(i).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        part = [np.stack([column(i) for i in range(4)], axis=1), column(4).view(np.uint64), column(5)]
+        key, fp, role = [np.concatenate(x) for x in zip(rest, part, strict=True)] if rest else part
         last = int(np.flatnonzero(np.any(key != key[-1], axis=1))[-1]) + 1 if np.any(key[0] != key[-1]) else 0
         if last:
-            yield links(key[:last], fp[:last], home[:last])
-        rest = [x[last:] for x in (key, fp, home)]
+            yield links(key[:last], fp[:last], role[:last])
+        rest = [x[last:] for x in (key, fp, role)]
     if rest:
         yield links(*rest)
 
 
+def _sized(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of the groups that have a home and another member, with the group's size as `size`."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.max("home").alias("any_home")).filter("size > 1 AND any_home")
+    sizes = materialize(sizes.select(*keys, "size"), "sizes")
+    return join_hot(rows, sizes, list(keys), sizes.withColumnRenamed("size", "n"))
+
+
 def fingerprint_links(prints: DataFrame) -> DataFrame:
     """a, b (a < b): links that connect all that links of three bits or fewer connect, from distinct fp values."""
-    fp = prints.select("fp")
-    homes = arrow_pass(fp, _anchor_batches(True), "anchor long, fp long, home boolean")
-    hot = homes.groupBy("anchor").count().filter(F.col("count") > HOT_ANCHOR).select("anchor", F.lit(True).alias("hot"))
+    fp = materialize(prints.select("fp"), "prints")
+    homes = materialize(arrow_pass(fp, _anchor_batches(True), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")), "homes")
     members = arrow_pass(fp, _anchor_batches(False), "anchor long, fp long, home boolean")
-    quarter = lambda q: F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF) + q * 0x10000 + 1
-    keys = F.when(F.col("hot"), F.array(*(quarter(q) for q in range(4)))).otherwise(F.array(F.lit(0).cast("long")))
-    placed = members.join(hot, "anchor", "left").select("anchor", F.explode(keys).alias("part"), "fp", "home")
-    dealt = placed.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    met = materialize(join_hot(members, homes.select("anchor"), ["anchor"], homes, "left_semi"), "anchors")
+    quarters = F.array(*(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(0xFFFF) + q * 0x10000 + 1 for q in range(4)))
+    parts = F.when(F.col("size") > HOT_ANCHOR, quarters).otherwise(F.array(F.lit(0).cast("long")))
+    parted = _sized(met, "anchor").select("anchor", "fp", "home", F.explode(parts).alias("part"))
+    grid = F.ceil(F.col("size") / CELL).cast("long")
+    spot = F.pmod(F.xxhash64("fp"), grid)
+    lines = F.sequence(F.lit(0).cast("long"), grid - 1)
+    cell = lambda across, down, role: F.struct(across.alias("across"), down.alias("down"), role.alias("role"))
+    nought = F.lit(0).cast("long")
+    whole = F.array(cell(nought, nought, F.when(F.col("home"), _HOME | _MEMBER).otherwise(_MEMBER)))
+    as_member = F.transform(lines, lambda i: cell(i, spot, F.lit(_MEMBER)))
+    as_home = F.when(F.col("home"), F.transform(lines, lambda i: cell(spot, i, F.lit(_HOME)))).otherwise(F.slice(as_member, 1, 0))
+    cells = F.when(grid == 1, whole).otherwise(F.concat(as_member, as_home))
+    placed = _sized(parted, "anchor", "part").select("anchor", "part", "fp", F.explode(cells).alias("c")).select("anchor", "part", "c.across", "c.down", "fp", "c.role")
+    dealt = placed.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     return arrow_pass(dealt, _link_batches, "a long, b long")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every child has one root, which is no child."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("child")), F.struct(F.col("v").alias("x"), F.lit(0).alias("child")))).alias("e"))
+    seen = ends.groupBy("e.x").agg(F.sum("e.child").alias("roots"), F.min("e.child").alias("low"))
+    return seen.filter("roots > 1 OR roots = 1 AND low = 0").isEmpty()
+
+
 def stars(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """child, root: for every linked vertex but the roots, the smallest vertex of its component.
 
-    Rounds of large-star and small-star; each is written, and the last leaves the edges as they were.
+    Rounds of large-star and small-star; each is written, until the edges are stars.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = _mark(edges)
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
-        edges = materialize(small, "stars")
-        if (mark := _mark(edges)) == seen:
+        if _settled(edges):
             return edges.select(F.col("u").alias("child"), F.col("v").alias("root"))
-        seen = mark
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = materialize(join_hot(both.filter("v > u"), low.select("u", "m"), ["u"], low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        pairs = F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))
+        small = join_hot(large, low.select("u", "m"), ["u"], low).select(F.explode(pairs).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct()
+        old, edges = (edges, large), materialize(small, "stars")
+        for written in old:
+            discard(written)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Equal for equal edge sets: a count, the hashes' exclusive or and a sum of their low bits."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.bitwiseAND(0xFFFF))).first())
+def components(docs: DataFrame, vertex: str, linked: DataFrame) -> DataFrame:
+    """docs with `root`, the smallest vertex of the row's component, and component_id, the smallest doc_id of it.
+
+    docs has doc_id and a column of vertices; linked has the child and root of every linked vertex but the roots.
+    """
+    own = materialize(docs.groupBy(F.col(vertex).alias("vertex")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "vertices")
+    members = linked.unionByName(linked.select(F.col("root").alias("child"), "root").distinct())
+    known = materialize(own.join(members, own["vertex"] == members["child"], "left").select("vertex", "first", "copies", F.coalesce("root", "vertex").alias("root")), "components")
+    several = materialize(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1"), "lowest")
+    named = join_hot(known, several.drop("n"), ["root"], several, "left")
+    whole = materialize(named.select(F.col("vertex").alias(vertex), "root", F.coalesce("component_id", "first").alias("component_id"), "copies"), "components")
+    return join_hot(docs, whole.drop("copies"), [vertex], whole.withColumnRenamed("copies", "n"))
+
+
+def similar_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, fp, root, component_id: one row per row of documents; groups for keep_first."""
+    docs = materialize(fingerprints(documents), "fingerprints")
+    return components(docs, "fp", stars(fingerprint_links(docs.select("fp").distinct())))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per row of documents."""
-    docs = materialize(fingerprints(documents), "fingerprints")
-    prints = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = stars(fingerprint_links(prints))
-    members = linked.unionByName(linked.select(F.col("root").alias("child"), "root").distinct())
-    known = members.join(prints, members["child"] == prints["fp"])
-    lowest = known.groupBy("root").agg(F.min("first").alias("lowest"))
-    component = members.join(lowest, "root").select(F.col("child").alias("fp"), "lowest")
-    whole = prints.join(component, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return docs.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return similar_rows(documents).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(documents: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The rows of documents that stay: of each component the one with the smallest id, once.
 
-    groups has doc_id and component_id; without it the components are those of near_duplicates. Rows without an id
-    can't stand for a component; they are kept as they are. Of rows that share an id one stays.
+    groups has doc_id, k1, k2 (the text's key), root and component_id; without it the components are those of
+    near_duplicates. If several texts of a component share its smallest id, the one with the smallest key stays; of rows
+    alike in id and text one stays. Rows without an id can't stand for a component; they are kept as they are.
     """
-    groups = near_duplicates(documents) if groups is None else groups
-    found = materialize(groups.filter("doc_id is not null"), "components")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    single = documents.join(gone, "doc_id", "left_anti").join(again, "doc_id", "left_anti")
-    once = documents.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(columns_of(documents)).unionByName(once.select(columns_of(documents)))
+    row = ["doc_id", "k1", "k2"]
+    groups = similar_rows(documents) if groups is None else groups
+    found = materialize(groups.filter("doc_id is not null").select(*row, "root", "component_id"), "components")
+    heads = found.filter("doc_id = component_id")
+    crowded = materialize(heads.groupBy("root").count().filter("count > 1").select("root"), "crowded")
+    mine = [F.col("doc_id").cast("long").alias("doc_id"), *content_key(F.col("text").cast("string"))]
+    packed = documents.select(F.struct(*columns_of(documents)).alias("row"), *mine)
+    gone = found.filter("doc_id <> component_id").select(*row)
+    if crowded.isEmpty():
+        return packed.join(materialize(gone.distinct(), "gone"), row, "left_anti").select("row.*")
+    counts = heads.join(crowded, "root").groupBy("root", *row).count()
+    best = materialize(counts.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("k1", "k2"))), "heads")
+    gone = materialize(gone.unionByName(best.filter("place > 1").select(*row)).distinct(), "gone")
+    again = materialize(best.filter("place = 1 AND count > 1").select(*row), "again")
+    once = packed.join(again, row, "left_semi").dropDuplicates(row)
+    return packed.join(gone.unionByName(again), row, "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int]]:
     """For tests: fingerprint and component of each id by comparing all pairs."""
     prints = [(i, simhash(t)) for i, t in rows]
-    known = _Forest(len(prints))
+    known = Forest(len(prints))
     for i in range(len(prints)):
         for j in range(i):
             if (prints[i][1] ^ prints[j][1]).bit_count() <= MAX_BITS:

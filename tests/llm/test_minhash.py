@@ -1,24 +1,10 @@
 import random
 
 import corpus_pipeline
-from skarn.llm import minhash, simhash
+from skarn.llm import common, minhash, simhash
 
 
-def _plain(rows, size=5, threshold=0.8):
-    """Component of each id by comparing all pairs of word-tuple sets."""
-    sets = []
-    for _, text in rows:
-        words = (text or "").lower().split()
-        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
-    known = simhash._Forest(len(rows))
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold:
-                known.join(i, j)
-    return {i: rows[known.root(k)][0] for k, (i, _) in enumerate(rows)}
-
-
-def test_near_copies_with_edits_go(spark):
+def test_near_copies_with_edits_go(spark, monkeypatch):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(400)]
     rows = [(0, None), (1, ""), (2, "short"), (3, "Short"), (4, "x " * 9000), (5, "one two three four"), (6, "one  two three four")]
@@ -34,9 +20,11 @@ def test_near_copies_with_edits_go(spark):
     for i in range(12):
         rows.append((len(rows), " ".join(f"z{k}" if k < 12 * i else w for k, w in enumerate(base))))
     frame = spark.createDataFrame([*rows, (None, rows[-1][1]), (7, rows[7][1])], "doc_id long, text string")
-    want = _plain(rows)
+    want = {rows[i][0]: rows[c][0] for i, c in minhash.brute_force(rows).items()}
     got = minhash.similar_groups(frame).collect()
     assert len(got) == len(rows) + 1 and {r.doc_id: r.component_id for r in got} == want
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(minhash, "MORE_PIVOTS", 2)
     kept = corpus_pipeline.one_of_each_group(spark, frame, "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, set(want.values())), "None"])
     assert len(set(want.values())) < len({c for _, c in simhash.brute_force(rows).values()})
