@@ -1,6 +1,9 @@
 import random
+import time
 
-from skarn.llm import language
+import pytest
+
+from skarn.llm import common, language
 
 SEEDS = {
     "en": "the and of that with this which when there their over under water house light night",
@@ -39,7 +42,7 @@ def test_documents_and_pages(spark):
     assert model.languages == ["de", "en"]
     kept = language.keep_known(documents, model)
     assert kept.columns == documents.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] not in (900, 901))
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(repr(d[:2]) for d in docs if d[1])
     page = '<!DOCTYPE html><html class="x" lang="de-AT"><script>the of and</script><p>{}</p><!-- the --></html>'
     pages = spark.createDataFrame([(1, "https://u@www.a.de:80/x", page.format(texts["de"][1])), (2, None, None), (3, "nonsense", "<p>" + texts["en"][2])], "page_id long, url string, html string")
     evidence = language.evidence_of_pages(pages).collect()
@@ -77,3 +80,58 @@ def test_sampled_texts_are_whole(spark):
     text = "the " * 1500 + "zyx"
     model = language.fit(language.labelled_sample(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")))
     assert "zyx" in model.scores
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    texts = _texts(8, 20)
+    docs = [(i, t, k, "s") for k in texts for i, t in enumerate(texts[k], 100 * (k == "de"))] + [(3, "123 456", "en", "s"), (3, "zqxv kjwq xxqz vvkq " * 20, "xx", "q")]
+    documents = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    kept = language.keep_known(documents, language.fit(_texts(8, 20))).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(d[:2] for d in docs[:-2])
+
+
+def test_hot_values_change_nothing(spark, monkeypatch):
+    model = language.fit(_texts(1, 30))
+    rows = [("documents", i, None, "s:hot" if i % 3 else f"s:{i}", "", "", "en", t) for i, t in enumerate(_texts(3, 30)["de"])]
+    frame = spark.createDataFrame(rows, "kind string, doc_id long, page_id long, host string, domain string, suffix string, declared string, body string").repartition(4)
+    want = sorted(map(repr, language.identify(frame, model).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(repr, language.identify(frame, model).collect())) == want
+
+
+def test_scores_by_table_and_by_search(monkeypatch):
+    model = language.fit(_texts(1, 30))
+    texts = [None, "", "a", "the Straße 12 ́x", "漢字 the", "x" * 10_000, "light " * 9000]
+    one_by_one = [sum((model.word(w) for w in language._WORD.findall((t or "").lower())), start=0 * model.rows[0]) for t in texts]
+    table = [model.text(t) for t in texts]
+    monkeypatch.setattr(language, "_TABLE_LETTERS", 1)
+    monkeypatch.setattr(language, "_SLICE_CHARS", 100)
+    searched = [language.TrigramModel(model.languages, model.keys, model.rows[:, :-1]).text(t) for t in texts]
+    for t, want, (n, a), (m, b) in zip(texts, one_by_one, table, searched, strict=True):
+        assert n == m == len(language._WORD.findall((t or "").lower()))
+        assert abs(a - want).max() < 1e-6 * (1 + abs(want).max()) and abs(b - want).max() < 1e-6 * (1 + abs(want).max())
+
+
+@pytest.mark.parametrize("mark", ["<!--", "<script>", "<style ", "<", "</script ", "<!-- x >", "<script>x</style>"])
+def test_malformed_markup_takes_linear_time(mark):
+    began = time.perf_counter()
+    language.text_of_html(mark * (1_000_000 // len(mark)))
+    assert time.perf_counter() - began < 2
+
+
+def test_text_of_markup():
+    page = "a<!-- b -->c<script x>d</SCRIPT >e<style>f</style>g<p class=x>h &amp; i</p><scripty>j<script>k <!-- l > m"
+    assert language.text_of_html(page).split() == "a c e g h & i j k m".split()
+    assert language.text_of_html("a < b") == "a < b" and language.text_of_html(None) == ""
+
+
+def test_accuracy_outside_the_sample_without_the_declaration(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled = {k: v[:100] for k, v in language.labelled_sample(documents).items()}
+    seen = {t for v in labelled.values() for t in v}
+    rest = [r for r in documents.filter("lang is not null").collect() if r.text not in seen]
+    hidden = spark.createDataFrame([(r.doc_id, r.text, None, r.source) for r in rest], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(language.evidence_of_documents(hidden), language.fit(labelled)).collect()}
+    judged = [(r.lang, got[r.doc_id]) for r in rest if got[r.doc_id].n_words >= 5]
+    assert len(judged) > 400
+    assert sum(lang == g.language for lang, g in judged) / len(judged) > 0.97
