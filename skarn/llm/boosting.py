@@ -10,7 +10,7 @@ DEPTH = 3
 class Boosted:
     """Complete trees of DEPTH levels on quantile bins, logistic loss, Newton leaves."""
 
-    def __init__(self, trees: int = 60, rate: float = 0.2, bins: int = 32, smooth: float = 1.0):
+    def __init__(self, trees: int = 120, rate: float = 0.2, bins: int = 32, smooth: float = 1.0):
         self.n_trees, self.rate, self.bins, self.smooth = trees, rate, bins, smooth
         self.features, self.cuts, self.leaves = [], [], []
         self.slope, self.shift = 1.0, 0.0

@@ -1,18 +1,21 @@
 r"""Personal data: high-recall generators propose spans, boosted trees judge them, calibrated thresholds select.
 
 The four base kinds (email, ip, card, phone) are exact patterns with a check each; what passes is always kept. Further
-generators propose spans of other kinds, overlaps included: secrets (keys and tokens), national id numbers, IBANs,
-phone numbers without a country code, IPv6 and hardware addresses,
+generators propose spans of other kinds, overlaps included: secrets (keys, tokens, signed tokens), passwords after a key
+word, national id numbers, IBANs, phone numbers without a country code, IPv6 and hardware addresses,
 and phone and account numbers that a base pattern loses by running on into other digits. Each proposal gets format features (digits, letters,
-entropy, check sums) and context features (key words before it, neighbours, quotes). The trees are fitted on the driver
+entropy, check sums) of its whole span and context features (key words before it, neighbours, quotes). The trees are fitted on the driver
 on TRAINING_ROWS generated, labelled proposals with a fixed seed; a held-out part calibrates the scores, and each
-kind's threshold is the lowest with the wanted precision there. Selected spans are taken by score; one that overlaps a
-base span or a better one is left out.
+kind's threshold is the lowest with the wanted precision there. Selected spans are taken by score, equal scores by
+place in the text and then by kind; one that overlaps a base span or a better one is left out.
+
+Out of scope: names of persons, postal addresses and other data without a form of their own.
 
 Places are code points, ends exclusive. A pass is one scan, nothing is shuffled.
 
-Defined cases: null and empty texts have no span; overlapping base spans of different kinds are all kept; rows, ids
-and nulls of doc_id come back as they are; other columns are ignored by `detect` and kept by `redact`.
+Defined cases: null and empty texts have no span; very long texts and spans are read whole; overlapping base spans of
+different kinds are all kept; repeated rows, ids and nulls of doc_id come back as they are, a row each; an empty table
+gives no row; other columns are ignored by `detect` and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +39,9 @@ from skarn.llm.boosting import Boosted
 from skarn.llm.common import arrow_pass, columns_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("secret", "ssn", "iban", "localphone", "ipv6", "mac", "intlphone", "account")
+ADDED_KINDS = ("secret", "ssn", "iban", "localphone", "ipv6", "mac", "intlphone", "account", "password")
 KINDS = BASE_KINDS + ADDED_KINDS
-TRAINING_ROWS = 8000
+TRAINING_ROWS = 14000
 PRECISION = 0.99
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
@@ -60,6 +65,11 @@ _GENERATORS = {
 }
 #: Kinds that match without a digit; all of them need a colon or a hyphen.
 _DIGITLESS = ("ipv6", "mac")
+#: Signed tokens, which have dots inside.
+_SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*)?")
+#: A value after a word that announces one; looked for in lower-cased texts with such a word.
+_ANNOUNCED = ("passw", "passphrase", "pwd", "secret", "token", "api_key", "api key", "apikey", "api-key", "access_key", "access key", "credential")
+_PASSWORD = re.compile(r"(?:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access)[ _-]?key|credentials?)\"?\s{0,3}(?:=|:|\bis\b)\s{0,3}[\"'`]?([^\s\"'`,;<>()]{6,})", re.I)
 #: Key words of a proposal's context, by feature.
 _WORDS = {
     "secret": ("token", "secret", "key", "passw", "pwd", "credential", "auth", "bearer"),
@@ -71,6 +81,7 @@ _WORDS = {
 }
 _WORD_PATTERNS = [re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})") for words in _WORDS.values()]
 _BEFORE, _AFTER = 32, 1
+_HEXA = frozenset("0123456789abcdefABCDEF")
 
 
 def _luhn(digits: str) -> bool:
@@ -118,7 +129,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """What the generators of the added kinds propose; overlaps are wanted."""
     generators = _GENERATORS if _DIGIT.search(text) else {k: _GENERATORS[k] for k in _DIGITLESS} if ":" in text or "-" in text else {}
-    return [(kind, *m.span()) for kind, pattern in generators.items() for m in pattern.finditer(text)]
+    out = [(kind, *m.span()) for kind, pattern in generators.items() for m in pattern.finditer(text)]
+    if "eyJ" in text and (signed := [("secret", *m.span()) for m in _SIGNED.finditer(text)]):
+        whole = _Taken(signed)  # their parts are no proposals of their own
+        out = [p for p in out if p[0] != "secret" or whole.free(*p[1:])] + signed
+    low = text.lower()
+    if any(word in low for word in _ANNOUNCED):
+        secrets = _Taken([p for p in out if p[0] == "secret"])  # which need no word before them
+        out += [("password", *m.span(1)) for m in _PASSWORD.finditer(text) if secrets.free(*m.span(1))]
+    return out
 
 
 def _mod97(s: str) -> bool:
@@ -129,24 +148,21 @@ def _mod97(s: str) -> bool:
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a proposal."""
     s, before = text[start:end], text[max(0, start - _BEFORE) : start].lower()
-    head = s[:512]
-    n = len(head)
-    counts: dict[str, int] = {}
-    for c in head:
-        counts[c] = counts.get(c, 0) + 1
-    digits, letters, upper = sum(c.isdigit() for c in head), sum(c.isalpha() for c in head), sum(c.isupper() for c in head)
-    plain = head.replace("-", "").replace("_", "")
+    n, counts = len(s), Counter(s)
+    digits, letters, upper = (sum(v for c, v in counts.items() if test(c)) for test in (str.isdigit, str.isalpha, str.isupper))
+    plain = s.replace("-", "").replace("_", "")
     tail = before.rstrip("\"'`( ")
     shape = [
-        float(_RANK[kind]), float(len(s)), digits / n, letters / n, upper / n, (n - digits - letters) / n,
-        -sum(v / n * math.log2(v / n) for v in counts.values()), float(all(c in "0123456789abcdefABCDEF" for c in head)),
-        float(head.count("-") + head.count("_") + head.count("/")), max(map(len, re.findall("[a-zA-Z]+", head)), default=0) / n,
-        sum(a.isdigit() != b.isdigit() for a, b in zip(plain, plain[1:], strict=False)) / n, float(head.count(":")),
+        float(_RANK[kind]), float(n), digits / n, letters / n, upper / n, (n - digits - letters) / n,
+        -sum(v / n * math.log2(v / n) for v in counts.values()), float(_HEXA.issuperset(counts)),
+        float(counts["-"] + counts["_"] + counts["/"]), max(map(len, re.findall("[a-zA-Z]+", s)), default=0) / n,
+        sum(a.isdigit() != b.isdigit() for a, b in zip(plain, plain[1:], strict=False)) / n, float(counts[":"]),
+        sum(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False)) / n, float(s[-1:] in tuple(".!?")), float(counts["."]),
     ]
     checks = [
         float(kind == "iban" and _mod97(s) or kind == "account" and _luhn(_only_digits(s))),
         float(kind == "ssn" and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"),
-        float(head.startswith(("sk_", "pk_", "ghp_", "AKIA", "xox", "eyJ"))), float(s[:1] == "("),
+        float(s.startswith(("sk_", "pk_", "ghp_", "AKIA", "xox", "eyJ"))), float(s[:1] == "("),
         float("::" in s or s.count(":") == 7), float(kind == "ipv6" and all(len(p) == 2 for p in s.split(":"))),
     ]
     context = [max((m.start() for m in p.finditer(before)), default=-1) / _BEFORE for p in _WORD_PATTERNS]
@@ -176,12 +192,35 @@ class _Examples:
         s = f"{country}{check if valid else (check + self.rng.randint(1, 90)) % 97 + 1:02d}{body}"
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if self.rng.random() < 0.5 else s
 
+    def password(self, good: bool) -> tuple[str, str]:
+        """Text before and a value after a word that announces one."""
+        r, lower = self.rng, "abcdefghijklmnopqrstuvwxyz"
+        before = r.choice(["password", "Password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "access key", "credentials"]) + r.choice([" = ", "=", ": ", " is ", ' = "', ": '", ":"])
+        long = self.word() + self.word()
+        if good:
+            span = r.choice([
+                long + self.chars(lower.upper(), r.randint(2, 6)), long + r.choice("!@#$%^&*_-+") + self.chars(lower + "0123456789", r.randint(1, 6)), long + self.digits(r.randint(1, 5)),
+                self.chars(lower + lower.upper(), r.randint(8, 30)), self.chars(lower + lower.upper() + "0123456789!@#$%^&*", r.randint(8, 30)), "".join(self.word().capitalize() for _ in range(4)),
+                self.chars(lower, 3) + "-" + self.chars(lower.upper(), 3) + "-" + self.chars(lower + "0123456789", 4), "".join(c.upper() if r.random() < 0.4 else c for c in long + "ab"),
+            ])
+            return before, span if len(span) >= 6 else span + "XyZ!"[: 6 - len(span)] + "Q9"
+        span = r.choice([
+            long, long.capitalize(), long + ".", long.upper(), r.choice(["required", "optional", "string", "missing", "invalid", "expired", "changed", "wrong.", "correct", "confidential", "stored", "hidden", "encrypted"]),
+            "your_" + r.choice(["password", "token", "key"]), "YOUR_TOKEN_HERE", "xxxxxxxx", "********", "${" + self.word().upper() + "_KEY}", "{{" + self.word() + "}}", "os.environ", "config." + self.word(), "self." + self.word() + "_" + self.word(), "[REDACTED]", "None...", "undefined", "https://" + self.word() + ".example.com/" + self.word(),
+        ])
+        return before, span if len(span) >= 6 else span + "ation"
+
     def case(self) -> tuple[str, str, str, int]:
         """kind, text before, the span, label."""
         r, hexa, alnum = self.rng, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
         kind, good = r.choice(ADDED_KINDS + ("secret", "secret")), r.random() < 0.5
         sep = r.choice([" = \"", "=", ": ", " is ", " ", ": '"])
+        if kind == "password":
+            return kind, *self.password(good), int(good)
         if kind == "secret":
+            if good and r.random() < 0.15:
+                part = alnum + "-_"
+                return kind, r.choice(["token" + sep, "bearer ", "authorization: bearer ", "jwt ", self.word() + " "]), "eyJ" + self.chars(part, r.randint(10, 40)) + ".eyJ" + self.chars(part, r.randint(10, 120)) + r.choice(["", ".", "." + self.chars(part, r.randint(20, 90))]), 1
             if good:
                 span = r.choice([self.chars(hexa, r.choice([32, 40, 40, 64])), self.chars(alnum, r.randint(20, 64)), "sk_live_" + self.chars(alnum, 24), "ghp_" + self.chars(alnum, 36), "AKIA" + self.chars(alnum[:26] + "0123456789", 16)])
                 known = span.startswith(("sk_", "ghp_", "AKIA"))
@@ -269,6 +308,28 @@ def model(seed: int = 11) -> tuple[Boosted, dict[str, float]]:
     return trees, thresholds
 
 
+class _Taken:
+    """Places of a text that spans hold, as disjoint intervals in order."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.held: list[tuple[int, int]] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1:]):
+            if self.held and start < self.held[-1][1]:
+                start, end = self.held[-1][0], max(end, self.held.pop()[1])
+            self.held.append((start, end))
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.held, (end,))
+        return not at or self.held[at - 1][1] <= start
+
+    def take(self, start: int, end: int) -> bool:
+        """Whether the place was free; it is held from now on."""
+        if self.free(start, end):
+            insort(self.held, (start, end))
+            return True
+        return False
+
+
 def spans_of(texts: list[str | None], trees: Boosted, thresholds: dict[str, float]) -> list[tuple[list, list]]:
     """For each text its base spans and its added spans."""
     base = [base_spans(t) if t else [] for t in texts]
@@ -276,12 +337,23 @@ def spans_of(texts: list[str | None], trees: Boosted, thresholds: dict[str, floa
     added: list[list] = [[] for _ in texts]
     if found:
         p = trees.probability(np.array([features(texts[k], *s) for k, *s in found]))
-        for score, (k, kind, start, end) in sorted(zip(p.tolist(), found, strict=True), key=lambda f: (-f[0], f[1])):
-            if score >= thresholds[kind] and not any(s < end and start < e for _, s, e in base[k] + added[k]):
+        taken = {k: _Taken(base[k]) for k in {k for k, *_ in found}}
+        for score, (k, kind, start, end) in sorted(zip(p.tolist(), found, strict=True), key=lambda f: (-f[0], f[1][0], f[1][2], _RANK[f[1][1]], f[1][3])):
+            if score >= thresholds[kind] and taken[k].take(start, end):
                 added[k].append((kind, start, end))
     return list(zip(base, added, strict=True))
 
 
+def plain_choice(text: str, trees: Boosted, thresholds: dict[str, float]) -> list[tuple[str, int, int]]:
+    """For tests: the added spans of a text, one proposal after the other, held against all spans before it."""
+    base, chosen = base_spans(text), []
+    scored = [(float(trees.probability(np.array([features(text, *p)]))[0]), p) for p in proposals(text)]
+    for score, (kind, start, end) in sorted(scored, key=lambda f: (-f[0], f[1][1], _RANK[f[1][0]], f[1][2])):
+        if score >= thresholds[kind] and all(end <= s or e <= start for _, s, e in base + chosen):
+            chosen.append((kind, start, end))
+    return chosen
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda s: (s[1], _RANK[s[0]], s[2])))
 
@@ -305,7 +377,7 @@ def _spans(texts: list, fitted) -> Iterator[tuple[list, list]]:
 
 
 def detect(documents: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: a row per row of documents."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added: a row per row of documents."""
     fitted = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +385,12 @@ def detect(documents: DataFrame) -> DataFrame:
             rows = []
             for base, added in _spans(batch.column(1).to_pylist(), fitted):
                 counts = [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added)))
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + added), len(added)))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return arrow_pass(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return arrow_pass(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact(documents: DataFrame) -> DataFrame:
