@@ -40,25 +40,22 @@ _SPARSE = 2e-3
 _MAPS = 256
 _WORD = r"[a-z0-9.+-]*[a-z0-9+]"
 
-#: Every generated paragraph of the training rows, but for plain words, has one of these.
-GATE = ("licen", "copyright", "spdx", "warrant", "public domain", "all rights reserved", "redistribut", "permission is hereby", "cc0", "cc by", "creative commons", "gnu ")
-
 #: The wording by which licences are named and granted, by family.
 TEMPLATES = {
-    "apache-2.0": ("licensed under the apache license version 2.0", "spdx-license-identifier apache-2.0", "you may not use this file except in compliance with the license", "apache license version 2.0 january 2004", "released under the apache license 2.0"),
-    "mit": ("released under the mit license", "licensed under the mit license", "spdx-license-identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the mit license mit"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "spdx-license-identifier gpl-3.0-or-later", "it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license for more details", "licensed under the gpl v2 license"),
-    "lgpl": ("licensed under the gnu lesser general public license", "spdx-license-identifier lgpl-2.1-only", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    "agpl": ("licensed under the gnu affero general public license version 3", "spdx-license-identifier agpl-3.0-only", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    "bsd": ("licensed under the bsd 3-clause license", "released under the bsd license", "spdx-license-identifier bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice"),
-    "mpl": ("subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license 2.0", "spdx-license-identifier mpl-2.0"),
-    "isc": ("licensed under the isc license", "spdx-license-identifier isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted isc license"),
+    "apache-2.0": ("licensed under the apache license version 2.0", "spdx-license-identifier apache-2.0", "you may not use this file except in compliance with the license", "apache license version 2.0 january 2004", "released under the apache license 2.0", "apache license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is"),
+    "mit": ("released under the mit license", "licensed under the mit license", "spdx-license-identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the mit license mit", "mit license", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    "gpl": ("this work is licensed under the gnu general public license version 3", "spdx-license-identifier gpl-3.0-or-later", "it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license for more details", "licensed under the gpl v2 license", "gnu general public license", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    "lgpl": ("licensed under the gnu lesser general public license", "spdx-license-identifier lgpl-2.1-only", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    "agpl": ("licensed under the gnu affero general public license version 3", "spdx-license-identifier agpl-3.0-only", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    "bsd": ("licensed under the bsd 3-clause license", "released under the bsd license", "spdx-license-identifier bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice", "bsd 3-clause license", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    "mpl": ("subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license 2.0", "spdx-license-identifier mpl-2.0", "mozilla public license version 2.0"),
+    "isc": ("licensed under the isc license", "spdx-license-identifier isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc license"),
     "cc-by": ("licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "spdx-license-identifier cc-by-4.0", "available under the creative commons attribution license"),
     "cc-by-sa": ("licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "spdx-license-identifier cc-by-sa-4.0", "text is available under the creative commons attribution-sharealike license"),
     "cc-by-nc": ("licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license", "spdx-license-identifier cc-by-nc-4.0", "available under the creative commons attribution-noncommercial license"),
     "cc-by-nd": ("licensed under cc by-nd 4.0", "this work is licensed under a creative commons attribution-noderivatives 4.0 international license", "spdx-license-identifier cc-by-nd-4.0"),
     "cc0": ("released under cc0 1.0", "cc0 1.0 universal public domain dedication", "this work is dedicated to the public domain under cc0", "spdx-license-identifier cc0-1.0"),
-    "unlicense": ("this is free and unencumbered software released into the public domain", "spdx-license-identifier unlicense", "released under the unlicense"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "spdx-license-identifier unlicense", "released under the unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
     "proprietary": ("all rights reserved no part of this work may be reproduced without permission", "proprietary and confidential all rights reserved", "copyright all rights reserved", "licensed under a commercial license agreement"),
 }
 #: Talk about licences and copies that grants nothing.
@@ -80,16 +77,12 @@ def grams_of(text: str) -> list[str]:
     return list(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]))
 
 
-def gated(text: str) -> bool:
-    return any(stem in text.lower() for stem in GATE)
-
-
 def _filler(rng: random.Random) -> str:
     return "".join(rng.choice(["th", "er", "on", "an", "re", "in", "la", "que", "ch", "ung", "o", "a", "the ", "of ", "and "]) for _ in range(rng.randint(1, 4))).strip()
 
 
 def examples(n: int, seed: int) -> list[tuple[str, int]]:
-    """Paragraphs that pass the gate, with their class."""
+    """Generated paragraphs with their class."""
     rng, rows = random.Random(seed), []
     while len(rows) < n:
         k = rng.randrange(len(CLASSES) + 4)
@@ -103,9 +96,7 @@ def examples(n: int, seed: int) -> list[tuple[str, int]]:
             words = [w.replace("license", "licence") for w in words]
         around = rng.choice([0, 0, 3, 8])
         words = [_filler(rng) for _ in range(rng.randint(0, around))] + words + [_filler(rng) for _ in range(rng.randint(0, around))]
-        text = " ".join(words)
-        if gated(text):
-            rows.append((text.capitalize() + rng.choice([".", "", ","]), k))
+        rows.append((" ".join(words).capitalize() + rng.choice([".", "", ","]), k))
     return rows
 
 
@@ -297,3 +288,36 @@ def scan(documents: DataFrame) -> DataFrame:
         F.coalesce(F.array_min(F.transform(sure, lambda x: x["line"])), F.lit(-1)).cast("long").alias("first_line"),
         F.size(unsure).cast("long").alias("n_unconfirmed"),
     )
+
+
+def brute_force(text: str | None) -> tuple[int, int, str, int, int]:
+    """For tests: what scan has of one text, line by line in plain Python."""
+    fitted, pairs_of = model(), {f: [[g for g in grams_of(t) if " " in g] for t in ts] for f, ts in TEMPLATES.items()}
+
+    def judged(own: str) -> tuple[str, float, bool]:
+        grams = grams_of(own)
+        z = fitted.logits(own) / fitted.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family = CLASSES[int(p.argmax())]
+        if p.max() < MIN_PROBABILITY or family == UNKNOWN:
+            return UNKNOWN, 0.0, any(g in fitted.weights for g in grams)
+        return family, max(sum(g in grams for g in pairs) / len(pairs) for pairs in pairs_of[family]), True
+
+    lines = (text or "").split("\n")
+    words = [re.findall(_WORD, line.lower()) for line in lines]
+    singles, windows = [judged(line) for line in lines], []
+    for i in range(len(lines)):
+        end, below = i + 1, 0
+        while words[i] and end < len(lines) and words[end] and below < REACH_WORDS:
+            below += len(words[end])
+            end += 1
+        windows.append((end - i, judged(" ".join(w for own in words[i:end] for w in own))) if end > i + 1 else None)
+    same = lambda x, family: x[0] == family and x[1] >= MIN_TEMPLATE_SHARE
+    found = [(i, family, share >= MIN_TEMPLATE_SHARE) for i, (family, share, featured) in enumerate(singles) if featured]
+    for i, w in enumerate(windows):
+        if w and same(w[1], w[1][0]) and not any(same(x, w[1][0]) for x in singles[i : i + w[0]]):
+            after, before = windows[i + 1 : i + 2], windows[max(0, i - 1) : i]
+            if not any(x and same(x[1], w[1][0]) and x[1][1] >= w[1][1] for x in after) and not any(x and same(x[1], w[1][0]) and x[1][1] > w[1][1] for x in before):
+                found.append((i, w[1][0], True))
+    sure = [(i, f) for i, f, confirmed in found if f != UNKNOWN and confirmed]
+    return len(found), len(sure), ",".join(sorted({f for _, f in sure})), min((i for i, _ in sure), default=-1), sum(f != UNKNOWN and not c for _, f, c in found)

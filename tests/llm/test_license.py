@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from skarn.llm import license as lic
@@ -68,3 +70,39 @@ def test_wrapped_notices(spark):
     lines = [line for _, _, t in rows for line in t.split("\n")]
     featured = sum(any(g in lic.model().weights for g in lic.grams_of(line)) for line in lines)
     assert sum(r.n_candidates for r in got.values()) >= featured
+
+
+HEADERS = {
+    "mit": ["MIT License", "The MIT License (MIT)", 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights'],
+    "apache-2.0": ["Apache License", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,"],
+    "gpl": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"],
+    "lgpl": ["GNU LESSER GENERAL PUBLIC LICENSE"], "agpl": ["GNU AFFERO GENERAL PUBLIC LICENSE"],
+    "bsd": ["BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE'],
+    "mpl": ["Mozilla Public License Version 2.0"], "isc": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above"],
+    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License."], "cc-by-sa": ["Licensed under CC BY-SA 4.0"], "cc-by-nc": ["Licensed under CC BY-NC 4.0"], "cc-by-nd": ["Licensed under CC BY-ND 4.0"],
+    "cc0": ["CC0 1.0 Universal (Public Domain Dedication)"], "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled binary"],
+    "proprietary": ["All rights reserved. No part of this work may be reproduced without permission."],
+}
+
+
+def test_hand_written_headers_of_every_family():
+    assert set(HEADERS) == set(lic.FAMILIES)
+    for family, texts in HEADERS.items():
+        for text in texts:
+            assert lic.brute_force(text)[2] == family, text
+
+
+def test_scan_against_brute_force(spark):
+    rng = random.Random(21)
+    headers = [t for texts in HEADERS.values() for t in texts]
+    texts = [None, "", "\n\n", *headers[:6]]
+    for _ in range(30):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            words = rng.choice([*headers, *(t for t, _ in lic.examples(5, rng.randrange(1000)))]).split()
+            cut = words[rng.randint(0, 3) :][: rng.randint(3, 40)]
+            parts.append("".join(w + rng.choice([" ", " ", " ", " ", "\n", "\n\n"]) for w in cut))
+        texts.append(rng.choice(["\n", " ", "\n\n"]).join(parts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in lic.scan(frame).collect()}
+    assert got == {i: lic.brute_force(t) for i, t in enumerate(texts)}
