@@ -7,19 +7,23 @@ all documents, counted in a first pass. The second pass joins only those prefix
 a match gives the place that the window would have, which must lie inside the document (length and positional
 bounds), and the window's words are then compared exactly.
 
-The items are taken in blocks of at most BLOCK_WORDS words; each block's index is broadcast, so what is broadcast is
-bounded however many items there are, and every block is held against every document. A pass is a scan; documents
-are never shuffled. Only the shingle counts are, one row per shingle of the block and task at most.
+The items are taken in blocks of at most BLOCK_WORDS words (an item may pass that bound by its own length). Each block's
+index is broadcast, used and destroyed before the next, so what is broadcast and what a worker holds is bounded
+however many items there are, and every block is held against every document. A single block is one scan that reports at
+once; with more, each block's hits are written by text key, and joined with the documents' narrow columns at the end.
+Documents are never shuffled by a single block. The shingle counts are, one row per shingle of the block and task at most.
 
 Defined cases: a null or wordless text has no words and no hit; a null or wordless item has no window; an item
 without an id marks words but is not listed; repeated items count once; repeated rows and ids of documents give a row
-each; an empty table on either side gives no hits; other columns are ignored.
+each; very long texts are compared whole, _SLICE_WORDS words or one text at a time; an empty table on either side gives
+no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -28,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import arrow_pass, columns_of
+from skarn.llm.common import arrow_pass, columns_of, content_key, join_hot, materialize
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 5
 BLOCK_WORDS = 500_000
 _SLICE_WORDS = 1_000_000
+#: Pairs of a place and a window that are verified at a time.
+_PAIRS = 1_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII letters in lower case, digits as they are, other ASCII bytes to spaces; bytes of other characters stay.
 _WORD_BYTES = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -167,57 +173,87 @@ def _matches(ids: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.
     out = [[np.zeros(0, np.int64)] * 3]
     near = {size: _candidates(ids, size) for size in {s for s, _ in index.prefixes}}
     for (size, length), (wanted, first, window, offset, words) in index.prefixes.items():
-        places, which = _found(ids, near[size], size, wanted)
-        n = first[which + 1] - first[which]
-        entry = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        start = np.repeat(places, n) - offset[entry]
-        inside = (start >= 0) & (start + length <= len(ids))
-        start, entry = start[inside], entry[inside]
-        for k in range(length):
-            same = ids[start + k] == words[entry, k]
-            start, entry = start[same], entry[same]
-        out.append([window[entry], start, np.full(len(start), length)])
+        every, which_of = _found(ids, near[size], size, wanted)
+        part = np.cumsum(first[which_of + 1] - first[which_of]) // _PAIRS
+        for cut in np.split(np.arange(len(every)), np.flatnonzero(np.diff(part)) + 1):
+            places, which = every[cut], which_of[cut]
+            n = first[which + 1] - first[which]
+            entry = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            start = np.repeat(places, n) - offset[entry]
+            inside = (start >= 0) & (start + length <= len(ids))
+            start, entry = start[inside], entry[inside]
+            for k in range(length):
+                same = ids[start + k] == words[entry, k]
+                start, entry = start[same], entry[same]
+            out.append([window[entry], start, np.full(len(start), length)])
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _match_batches(index_of):
-    """Adds a block's hits to `hits` (pairs of word places, as bytes) and `items` of each document."""
+def _hits(texts: pa.Array, index: Index) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    """Of each text with a hit: its number, the places (begin, end) of its hits and the items' names."""
+    for docs, first in _slices(texts):
+        ids, starts = _numbered(docs, index.vocabulary)
+        window, start, length = _matches(ids, index)
+        doc = np.searchsorted(starts, start, side="right") - 1
+        order = np.argsort(doc, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
+            begin = start[own] - starts[doc[own[0]]]
+            names = set().union(*(index.items[w] for w in set(window[own].tolist()))) - {None}
+            yield first + int(doc[own[0]]), np.unique(np.stack([begin, begin + length[own]], axis=1), axis=0), sorted(names)
+
+
+_REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+
+
+def _report(n: int, hits: np.ndarray, items: list[str]) -> tuple:
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, hits[:, 0], 1)
+    np.add.at(edge, hits[:, 1], -1)
+    hit = int((np.cumsum(edge) > 0).sum())
+    return n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0, items
+
+
+def _rows(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+
+
+_NO_HITS = np.zeros((0, 2), dtype=np.int64)
+
+
+def _report_batches(index_of):
+    """Documents (doc_id, text) to reports, by one index or by none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of.value
         for batch in batches:
-            hits, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for docs, first in _slices(batch.column(1)):
-                ids, starts = _numbered(docs, index.vocabulary)
-                window, start, length = _matches(ids, index)
-                doc = np.searchsorted(starts, start, side="right") - 1
-                order = np.argsort(doc, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
-                    k = first + int(doc[own[0]])
-                    begin = start[own] - starts[doc[own[0]]]
-                    hits[k] = (hits[k] or b"") + np.unique(np.stack([begin, begin + length[own]], axis=1), axis=0).astype("<i8").tobytes()
-                    names = set().union(*(index.items[w] for w in set(window[own].tolist()))) - {None}
-                    items[k] = sorted(names.union(items[k] or ()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "hits", "items"])
+            found = {k: (hits, names) for k, hits, names in _hits(batch.column(1), index_of.value)} if index_of else {}
+            yield _rows(batch.column(0), [_report(len(words_of(t.as_py())), *found.get(k, (_NO_HITS, []))) for k, t in enumerate(batch.column(1))])
 
     return run
 
 
-def _report_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hit_batches(index_of):
+    """Texts (k1, k2, text) to the hits of those that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [*_hits(batch.column(2), index_of.value)]
+            at = pa.array([k for k, _, _ in found], pa.int64())
+            columns = [pa.array([h.astype("<i8").tobytes() for _, h, _ in found], pa.binary()), pa.array([n for _, _, n in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["k1", "k2", "hits", "items"])
+
+    return run
+
+
+def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_words and the hits and items of all blocks to reports."""
     for batch in batches:
         rows = []
-        for text, hits, items in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            n = len(words_of(text.as_py()))
-            edge = np.zeros(n + 1, dtype=np.int64)
-            if hits:
-                begin, end = np.frombuffer(hits, "<i8").reshape(-1, 2).T
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, end, -1)
-            hit = int((np.cumsum(edge) > 0).sum())
-            rows.append((n, hit, len(items or ()), hashlib.sha256(",".join(items or ()).encode()).hexdigest(), hit > 0, items or []))
-        columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
+        for n, hits, items in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            places = np.frombuffer(b"".join(hits or ()), "<i8").reshape(-1, 2)
+            rows.append(_report(n, places, sorted(set().union(*(items or ())))))
+        yield _rows(batch.column(0), rows)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list]:
@@ -233,43 +269,73 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
 
 
 def indexes(documents: DataFrame, benchmark: DataFrame) -> Iterator:
-    """For each block of items, its broadcast index with prefixes chosen by the corpus counts."""
+    """For each block of items with a window, its broadcast index with prefixes chosen by the corpus counts, and whether it is the only one.
+
+    An index is destroyed when the next is asked for; what uses it must be written by then.
+    """
     context = documents.sparkSession.sparkContext
-    for block in _blocks(benchmark):
-        index = Index(block)
-        if not index.windows:
-            continue
-        texts = documents.select(F.col("text").cast("string"))
-        counts = arrow_pass(texts, _count_batches(context.broadcast(index)), "shingle long, n long").groupBy("shingle").agg(F.sum("n"))
+    texts = documents.select(F.col("text").cast("string"))
+    with_windows = (index for index in map(Index, _blocks(benchmark)) if index.windows)
+    index, first = next(with_windows, None), True
+    while index:
+        sent = context.broadcast(index)
+        counts = arrow_pass(texts, _count_batches(sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n"))
         index.set_prefixes(dict(map(tuple, counts.collect())))  # at most one row per shingle of the block
-        yield context.broadcast(index)
+        sent.destroy()
+        sent, index = context.broadcast(index), None
+        index = next(with_windows, None)
+        yield sent, first and index is None
+        first = False
+        if index:
+            sent.destroy()
+
+
+def _hits_by_text(documents: DataFrame, benchmark: DataFrame) -> tuple:
+    """The index of a single block, or the written hits of several, by text key: (index, None) or (None, hits); None twice without any."""
+    text, written = F.col("text").cast("string"), []
+    for index, alone in indexes(documents, benchmark):
+        if alone:
+            return index, None
+        found = arrow_pass(documents.select(*content_key(text), text), _hit_batches(index), "k1 long, k2 long, hits binary, items array<string>")
+        written.append(materialize(found.dropDuplicates(["k1", "k2"]), "benchmark-hits"))
+    return None, reduce(DataFrame.unionByName, written) if written else None
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items: a row per row of documents."""
-    found = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for index in indexes(documents, benchmark):
-        found = arrow_pass(found, _match_batches(index), "doc_id long, text string, hits binary, items array<string>")
-    return arrow_pass(found, _report_batches, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    text = F.col("text").cast("string")
+    index, hits = _hits_by_text(documents, benchmark)
+    if hits is None:
+        return arrow_pass(documents.select(F.col("doc_id").cast("long"), text), _report_batches(index), f"doc_id long, {_REPORT}")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(words_of(t.as_py())) for t in batch.column(3)], pa.int64())], names=["doc_id", "k1", "k2", "n_words"])
+
+    narrow = materialize(arrow_pass(documents.select(F.col("doc_id").cast("long"), *content_key(text), text), counted, "doc_id long, k1 long, k2 long, n_words long"), "word-counts")
+    of_text = materialize(hits.groupBy("k1", "k2").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")), "benchmark-hits")
+    joined = join_hot(narrow, of_text, ["k1", "k2"], narrow.groupBy("k1", "k2").agg(F.count("*").alias("n")), "left")
+    return arrow_pass(joined.select("doc_id", "n_words", "hits", "items"), _join_batches, f"doc_id long, {_REPORT}")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents without a hit, with all their columns, in one scan and no shuffle."""
-    packed = documents.select(F.struct(*columns_of(documents)).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([packed.schema["row"]])
-    found = [*indexes(documents, benchmark)]
+    """The rows of documents without a hit, with all their columns; by a single block one scan and no shuffle."""
+    row, text = F.struct(*columns_of(documents)).alias("row"), F.col("text").cast("string").alias("text")
+    index, hits = _hits_by_text(documents, benchmark)
+    if hits is not None:
+        gone = materialize(hits.select("k1", "k2").distinct(), "benchmark-rejects")
+        return documents.select(row, *content_key(text)).join(gone, ["k1", "k2"], "left_anti").select("row.*")
+    if index is None:
+        return documents
+    packed = documents.select(row, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)
-            for index in found:
-                for docs, first in _slices(batch.column(1)):
-                    ids, starts = _numbered(docs, index.value.vocabulary)
-                    _, start, _ = _matches(ids, index.value)
-                    clean[first + np.searchsorted(starts, start, side="right") - 1] = False
+            clean[[k for k, _, _ in _hits(batch.column(1), index.value)]] = False
             yield batch.filter(pa.array(clean)).select([0])
 
-    return arrow_pass(packed, run, schema).select("row.*")
+    return arrow_pass(packed, run, T.StructType([packed.schema["row"]])).select("row.*")
 
 
 def brute_force(docs: list[tuple], items: list[tuple]) -> list[tuple]:

@@ -33,7 +33,12 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(repr(tuple(r)) for r in got) == want
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
     monkeypatch.setattr(decontaminate, "_SLICE_WORDS", 100)
+    monkeypatch.setattr(decontaminate, "_PAIRS", 5)
+    live = []
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: live.append(send(x)) or live[-1])
     assert sorted(repr(tuple(r)) for r in decontaminate.contamination(frame, bench).select(COLUMNS).collect()) == want
+    assert len(live) > 6 and sum(b._jbroadcast.isValid() for b in live) == 1
     kept = decontaminate.keep_clean(frame, bench)
     assert kept.columns == frame.columns
     clean = {repr(d) for d, w in zip(docs, decontaminate.brute_force(docs, items), strict=True) if not w[-1]}
