@@ -10,7 +10,8 @@ Each round is written to the shared folder before the next reads it, so a lost e
 another order.
 
 Defined cases: null and empty texts are one end id; repeated rows and ids are packed as often as they come; a null
-doc_id stays null; an empty table gives no row; other columns are ignored.
+doc_id stays null; very long texts are cut in one walk over their ids; of windows that a rest fits equally well the one
+opened first takes it; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ class Packer:
 
     def add(self, doc_id, start: int, ids: bytes, doc_tokens: int) -> None:
         width = 4 * self.size
-        while len(ids) >= width:
-            self.closed.append([(doc_id, start, ids[:width], doc_tokens)])
-            start, ids = start + self.size, ids[width:]
+        whole = len(ids) // width * width
+        self.closed += [[(doc_id, start + at // 4, ids[at : at + width], doc_tokens)] for at in range(0, whole, width)]
+        start, ids = start + whole // 4, ids[whole:]
         while ids:
             n = len(ids) // 4
             fits = [w for w in self.open if w[0] >= n]

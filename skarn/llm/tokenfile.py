@@ -8,12 +8,15 @@ Layout of a file, all little-endian, readable by any zstandard decoder:
   32 bits of the XXH64 of its content; then the number of frames, a descriptor byte and the magic number.
 
 A reader loads the two tables from the end and decompresses the frames of the documents asked for, no others.
-Files are written in ascending doc_id order (equal ids by text, a null id first), one per range partition, under a
-temporary name and then renamed, so that a task that runs again replaces its own file. File number k is followed by
+Files are written in ascending doc_id order (equal ids in any order, null ids first), one per range partition, under a
+temporary name and then renamed, so that a task that runs again replaces its own file; what failed attempts leave is
+removed at the end. Ranges go on below the id, by the text's hash and the row's place, so the rows of an id that many
+share are dealt over many files. The width of an id follows from the tokenizer's vocabulary; an id that is wider than its
+field is an error. File number k is followed by
 file k + 1; the manifest has each file's documents and tokens, from which the place of a document among all ids comes.
 
-Defined cases: null and empty texts are one end id; repeated rows are written as often as they come; an empty table
-gives an empty manifest and no row; other columns are ignored.
+Defined cases: null and empty texts are one end id; repeated rows are written as often as they come; a very long text is
+one frame; an empty table gives an empty manifest and no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_pass, fresh_dir, materialize
+from skarn.llm.common import arrow_pass, filesystem, fresh_dir, materialize
 from skarn.llm.wordbpe import DEFAULT_TOKENIZER, encoder
 
 #: Fixed values of the public zstandard seekable format.
@@ -58,6 +61,8 @@ class Writer:
         self.frames, self.ids, self.flags, self.tokens = [], [], [], 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} needs more than {self.width} bytes")
         raw = ids.astype(f"<u{self.width}").tobytes()
         frame = self.press.compress(raw)
         self.sink.write(frame)
@@ -120,10 +125,11 @@ class Reader:
                 yield i, self.document(k)
 
 
-def _write_batches(folder: str, tokenizer: str, width: int):
+def _write_batches(folder: str, tokenizer: str, width: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document, context = encoder(tokenizer).document, TaskContext.get()
-        files, base = pafs.FileSystem.from_uri(folder)
+        words, context = encoder(tokenizer), TaskContext.get()
+        document, wide = words.document, width or (2 if words.whole.get_vocab_size() <= 1 << 16 else 4)
+        files, base = filesystem(folder)
         part = context.partitionId()
         path, own = f"{base}/part-{part:07d}.tok.zst", f"{base}/.part-{part:07d}-{context.taskAttemptId()}"
         sink = writer = None
@@ -132,7 +138,7 @@ def _write_batches(folder: str, tokenizer: str, width: int):
                 if writer is None:
                     files.create_dir(base, recursive=True)
                     sink = files.open_output_stream(own)
-                    writer = Writer(sink, width)
+                    writer = Writer(sink, wide)
                 writer.add(doc_id, np.frombuffer(document(text.as_py()), "<u4"))
         if writer:
             writer.close()
@@ -146,16 +152,23 @@ def _write_batches(folder: str, tokenizer: str, width: int):
     return run
 
 
-def write_files(documents: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER, width: int = 2) -> DataFrame:
+def write_files(documents: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER, width: int | None = None) -> DataFrame:
     """Write the files; the manifest has a row per file: part, path, n_docs, n_tokens."""
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(arrow_pass(dealt, _write_batches(folder, tokenizer, width), MANIFEST), "manifest")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = ("doc_id", "h", "place")
+    placed = texts.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    manifest = materialize(arrow_pass(dealt, _write_batches(folder, tokenizer, width), MANIFEST), "manifest")
+    files, base = filesystem(folder)
+    for left in files.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if left.base_name.startswith(".part-"):
+            files.delete_file(left.path)
+    return manifest
 
 
 def _read_batches(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, _ = pafs.FileSystem.from_uri(folder)
+        files, _ = filesystem(folder)
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.open_input_file(path) as source:

@@ -11,8 +11,8 @@ library's Unigram model on the same pieces and scores; tests compare the two.
 
 Words are counted once per worker and kept in two generations of bounded size, so cost follows distinct words.
 
-Defined cases: null, empty and blank texts have zero tokens; a word of any length is cut as a whole; rows, ids
-and nulls of doc_id come back as they are; other columns are ignored.
+Defined cases: null, empty and blank texts have zero tokens; texts and words of any length are cut as a whole; repeated
+rows, ids and nulls of doc_id come back as they are, a row each; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

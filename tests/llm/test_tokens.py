@@ -155,3 +155,43 @@ def test_token_counts(spark):
     got = sorted((str(r.doc_id), r.n_tokens) for r in unigram.token_counts(frame).collect())
     n = len(unigram.library_tokenizer().encode("Hello world").ids)
     assert got == [("1", n), ("1", n), ("2", 0), ("None", 0)]
+
+
+def test_ids_of_a_large_vocabulary_keep_their_width(tmp_path):
+    with pytest.raises(ValueError):
+        tokenfile.Writer(io.BytesIO()).add(1, np.array([1, 70_000]))
+    sink = io.BytesIO()
+    writer = tokenfile.Writer(sink, 4)
+    writer.add(1, np.array([1, 70_000]))
+    writer.close()
+    assert tokenfile.Reader(sink).document(0).tolist() == [1, 70_000]
+
+
+def test_files_deal_rows_of_one_id(spark, tmp_path):
+    frame = spark.createDataFrame([(None, "same text", "x")] * 40 + [(None, f"text {i}", "x") for i in range(40)] + [(2, "b", "y"), (1, "a", "z")], "doc_id long, text string, n_tokens string").repartition(6)
+    folder = f"file://{tmp_path}/tokens"
+    manifest = tokenfile.write_files(frame, folder)
+    assert manifest.count() > 2 and max(r.n_docs for r in manifest.collect()) < 60
+    rows = sorted(tokenfile.read_files(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 80 + [1, 2]
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    assert not [x for x in (tmp_path / "tokens").iterdir() if x.name.startswith(".part")]
+
+
+def test_long_texts_pack_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    packer = packing.Packer()
+    packer.add(1, 0, b"\1\0\0\0" * 8_000_000, 8_000_000)
+    assert time.perf_counter() - began < 3 and sum(len(p[2]) // 4 for w in packer.closed for p in w) + sum(len(p[2]) // 4 for w in packer.open for p in w[1]) == 8_000_000
+
+
+def test_counts_of_odd_tables(spark):
+    frame = spark.createDataFrame([(1, "a b", 9), (None, None, 9), (1, "a b", 9), (2, "w" * 20_000, 9)], "doc_id long, text string, n_tokens int")
+    got = unigram.token_counts(frame).collect()
+    assert len(got) == 4 and sorted(r.n_tokens for r in got)[0] == 0
+    assert unigram.token_counts(frame.limit(0)).count() == 0
