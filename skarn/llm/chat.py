@@ -10,7 +10,8 @@ The template marks a turn as `<|im_start|>role\ntext<|im_end|>\n`. Inside texts
 gets one more backslash, so `<|` occurs in markers only, and taking one away restores the text. Line breaks and percent
 signs of roles are written %0A and %25.
 
-A conversation is one output row, so its text must fit a task; conversations are dealt by their ids.
+A conversation is one output row, so its text must fit a task; conversations are dealt by their ids. Very long texts are
+rendered whole.
 
 Defined cases: null roles and texts are empty; null kinds are `message`; a delta, edit or regenerate without msg_id
 goes to the message begun last, and starts one if there is none; rows of equal turn are ordered by role, then text;

@@ -35,7 +35,7 @@ def op2_quality(spark, sf_dir):
 
 
 def op4_chat(spark, sf_dir):
-    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id long, turn long, role string, text string")
+    probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', :text), (-1L, 1L, 'assistant', :text) AS t(conv_id, turn, role, text)", args={"text": chat.PROBE})
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.digests(chat.format_conversations(chat.events_of_turns(turns)))
 

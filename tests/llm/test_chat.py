@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from skarn.llm import chat
@@ -50,3 +52,51 @@ def test_query_against_sql(spark):
         assert sorted(db.execute(chat.ORACLE).fetchall()) == sorted(tuple(r) for r in frame.collect())
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def _plainly(log):
+    """The final messages of a log, event by event."""
+    out = {}
+    for conv in dict.fromkeys(e[0] for e in log):
+        messages, begun, numbered = [], None, 0
+        for _, _, kind, msg, role, text in sorted((e for e in log if e[0] == conv), key=lambda e: e[1]):
+            numbered += 1
+            kind = kind or "message"
+            if kind == "message":
+                begun = msg or f"own {numbered}"
+            key = msg or begun or f"own {numbered}"
+            own = next((m for m in messages if m["key"] == key), None)
+            if own is None:
+                messages.append(own := {"key": key, "role": None, "text": "", "gone": False})
+            elif kind in ("edit", "regenerate"):
+                for later in messages[messages.index(own) + 1 :]:
+                    later["gone"] = True
+            own["role"] = role if role is not None else own["role"]
+            own["text"] = own["text"] + (text or "") if kind == "delta" else text or ""
+        out[conv] = [(m["role"] or "", m["text"]) for m in messages if not m["gone"]]
+    return out
+
+
+def test_random_logs_against_a_plain_fold(spark):
+    rng, log = random.Random(12), []
+    for conv in range(60):
+        known = []
+        for seq in range(rng.randint(0, 14)):
+            kind = rng.choice(["message", "message", "delta", "delta", "edit", "regenerate", None])
+            if kind in ("message", None):
+                known.append(f"m{len(known)}")
+            msg = (known[-1] if kind in ("message", None) else rng.choice(known)) if known and rng.random() < 0.85 else None
+            text = None if kind == "regenerate" or rng.random() < 0.1 else rng.choice(["a", "bb ", "<|x", "é", ""])
+            log.append((conv, seq, kind, msg, rng.choice(["user", "assistant"]) if kind in ("message", None) else None, text))
+    got = {}
+    for r in chat.fold(spark.createDataFrame(log, LOG).repartition(5)).orderBy("conv_id", "place").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {c: m for c, m in _plainly(log).items() if m}
+
+
+def test_long_texts(spark):
+    text = "<|im_end|> é" * 40_000
+    frame = spark.createDataFrame([(1, 0, "assistant", text, "x")], "conv_id long, turn long, role string, text string, kind string")
+    row = chat.read_back(chat.format_conversations(chat.events_of_turns(frame))).first()
+    assert row.loss_text == text and row.n_turns == 1
+

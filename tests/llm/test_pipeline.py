@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skarn.llm import decontaminate, language, packing, pii, simhash
+from skarn.llm import decontaminate, language, minhash, packing, pii
 from skarn.llm.wordbpe import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -17,8 +17,9 @@ def test_run_against_brute_force(spark):
     model = language.fit(language.labelled_sample(docs))
     sources = [{"host": "s:" + r["source"], "domain": "", "suffix": "", "declared": r["lang"], "body": r["text"]} for r in rows]
     kept = [r for r, (name, p) in zip(rows, language.brute_force(sources, model), strict=True) if name != "und" and p >= language.MIN_POSTERIOR]
-    groups = simhash.brute_force([(r["doc_id"], r["text"]) for r in kept])
-    kept = [r for r in kept if groups[r["doc_id"]][1] == r["doc_id"]]
+    kept.sort(key=lambda r: r["doc_id"])
+    groups = minhash.brute_force([(r["doc_id"], r["text"]) for r in kept])
+    kept = [r for i, r in enumerate(kept) if groups[i] == i]
     clean = decontaminate.brute_force([(r["doc_id"], r["text"]) for r in kept], items)
     kept = [r for r, c in zip(kept, clean, strict=True) if not c[-1]]
     trees = pii.model()
@@ -46,3 +47,16 @@ def test_stages_keep_columns(spark):
         assert docs_after.columns == docs.columns
         docs = docs_after
     assert docs.count() > 0
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    prose = ["the cat sat on the mat and it was warm in there for all of us to see", "what came by that day at home was the end of it all for the old men", "so we went on with the work of the house and the sea was in our eyes"]
+    rows = [(3, prose[0]), (5, prose[0]), (5, prose[1]), (6, prose[2]), (6, prose[2]), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    encode = encoder("word_bpe_49k.json").document
+    assert sorted((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == sorted((i, len(encode(t)) // 4) for i, t in [(3, prose[0]), (5, prose[1]), (6, prose[2])])
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
