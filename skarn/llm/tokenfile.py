@@ -8,10 +8,10 @@ Layout of a file, all little-endian, readable by any zstandard decoder:
   32 bits of the XXH64 of its content; then the number of frames, a descriptor byte and the magic number.
 
 A reader loads the two tables from the end and decompresses the frames of the documents asked for, no others.
-Files are written in ascending doc_id order (equal ids in any order, null ids first), one per range partition, under a
+Files are written in ascending doc_id order (equal ids by the first HEAD_CHARS characters of the text, null ids first), one per range partition, under a
 temporary name and then renamed, so that a task that runs again replaces its own file; what failed attempts leave is
-removed at the end. Ranges go on below the id, by the text's hash and the row's place, so the rows of an id that many
-share are dealt over many files. The width of an id follows from the tokenizer's vocabulary; an id that is wider than its
+removed at the end. Ranges go on below the id, by the text's head and hash and the row's place, so the rows of an id that
+many share are dealt over many files. The width of an id follows from the tokenizer's vocabulary; an id that is wider than its
 field is an error. File number k is followed by
 file k + 1; the manifest has each file's documents and tokens, from which the place of a document among all ids comes.
 
@@ -44,6 +44,8 @@ SKIPPABLE_SEEK = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 LEVEL = 3
+#: Rows of equal ids are in the order of so many characters of their texts.
+HEAD_CHARS = 64
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -155,8 +157,8 @@ def _write_batches(folder: str, tokenizer: str, width: int | None):
 def write_files(documents: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER, width: int | None = None) -> DataFrame:
     """Write the files; the manifest has a row per file: part, path, n_docs, n_tokens."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = ("doc_id", "h", "place")
-    placed = texts.withColumn("h", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    order = ("doc_id", "head", "h", "place")
+    placed = texts.withColumns({"head": F.left("text", F.lit(HEAD_CHARS)), "h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = materialize(arrow_pass(dealt, _write_batches(folder, tokenizer, width), MANIFEST), "manifest")
     files, base = filesystem(folder)

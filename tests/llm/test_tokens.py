@@ -170,7 +170,9 @@ def test_ids_of_a_large_vocabulary_keep_their_width(tmp_path):
 def test_files_deal_rows_of_one_id(spark, tmp_path):
     frame = spark.createDataFrame([(None, "same text", "x")] * 40 + [(None, f"text {i}", "x") for i in range(40)] + [(2, "b", "y"), (1, "a", "z")], "doc_id long, text string, n_tokens string").repartition(6)
     folder = f"file://{tmp_path}/tokens"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     manifest = tokenfile.write_files(frame, folder)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.count() > 2 and max(r.n_docs for r in manifest.collect()) < 60
     rows = sorted(tokenfile.read_files(manifest, folder).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None] * 80 + [1, 2]
