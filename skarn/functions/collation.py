@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 
 def _accents() -> tuple[str, str]:
-    """Lower-case letters of the Latin blocks that are a plain letter with marks, and their plain letters."""
-    marked, plain = [], []
-    for code in range(0xC0, 0x250):
-        low = chr(code).lower()
-        base = unicodedata.normalize("NFD", low)[0]
-        if len(low) == 1 and base != low and low not in marked:
-            marked.append(low)
-            plain.append(base)
-    return "".join(marked), "".join(plain)
+    """Lower-case letters of all scripts that are one letter with combining marks, and those letters."""
+    marked: dict[str, str] = {}
+    for code in range(0xC0, 0x20000):
+        if unicodedata.decomposition(chr(code))[:1] in ("", "<"):
+            continue
+        for low in {chr(code), chr(code).lower()}:
+            base = "".join(c for c in unicodedata.normalize("NFD", low.lower()) if not unicodedata.category(c).startswith("M"))
+            if len(low) == len(base) == 1 and base != low == low.lower():
+                marked[low] = base
+    return "".join(marked), "".join(marked.values())
 
 
 MARKED, PLAIN = _accents()

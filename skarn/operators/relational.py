@@ -59,12 +59,15 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, salts: int = 16, h
     """An equi-join that deals each key of the large side over `salts` tasks; for keys with a large share of the rows.
 
     The small side is replicated `salts` times. AQE splits skewed joins by itself; this is for sides that AQE can't split.
+    The salt is of a row's place, so equal rows are dealt like any others.
     """
     if how not in ("inner", "left"):
         raise ValueError("a salted join is inner or left")
-    dealt = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    salt = next(n for n in ("__salt" + "_" * k for k in range(len(large.columns) + len(small.columns) + 1)) if n not in large.columns + small.columns)
+    place = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    dealt = large.withColumn(salt, F.pmod(place, F.lit(salts).cast("long")).cast("int"))
+    copies = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [key, salt], how).drop(salt)
 
 
 def group_concat(value: Column | str, separator: str = ",", distinct: bool = False, order: Column | str | None = None, descending: bool = False) -> Column:

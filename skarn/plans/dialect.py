@@ -1,12 +1,13 @@
-"""The dialect's SELECT as Spark SQL.
+"""The dialect's queries as Spark SQL.
 
 A tokenizer and a recursive-descent rewriter. It keeps track of types just far enough to close the gaps between the
 dialect and Spark: integer division, IEEE division of reals, Boolean against number comparison, float literals, NULL
 order, LIKE without escapes, the function library, GROUP_CONCAT, columns outside GROUP BY, folded texts under the
-`es` collation. Planning and optimisation are Catalyst's.
+`es` collation, NOT IN without a forced broadcast. Planning and optimisation are Catalyst's.
 
-Statements with clauses that the dialect lacks (WITH, UNION, OVER, ...) raise Unsupported; the session hands them
-to Spark as they are.
+Beyond the dialect WITH (RECURSIVE too), UNION / INTERSECT / EXCEPT, OVER, FILTER, ROLLUP, CUBE, GROUPING SETS, comma joins
+and functions that only Spark has are read as well, so the dialect's semantics hold in them. Other forms of Spark's raise
+Unsupported; the session hands such statements to Spark as they are.
 """
 
 from __future__ import annotations
@@ -14,14 +15,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from skarn.errors import SyntaxFault
 from skarn.functions.collation import fold_sql
 from skarn.functions.scalar import NAMES, quoted, sql_of
 
 
-class SyntaxFault(ValueError):
-    """Text that is no statement of the dialect."""
-
-
 class Unsupported(SyntaxFault):
     """A form that only Spark knows."""
 
@@ -80,7 +78,10 @@ def split_statements(script: str) -> list[str]:
 #: Words that end an expression or start a clause.
 _CLAUSES = ("FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "OFFSET")
 _JOINS = ("JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS")
-_RESERVED = {*_CLAUSES, *_JOINS, "ON", "USING", "AS", "AND", "OR", "NOT", "IS", "IN", "LIKE", "BETWEEN", "ASC", "DESC", "NULLS", "SELECT", "THEN", "WHEN", "ELSE", "END", "UNION", "INTERSECT", "EXCEPT", "SEPARATOR", "ESCAPE"}
+_RESERVED = {*_CLAUSES, *_JOINS, "ON", "USING", "AS", "AND", "OR", "NOT", "IS", "IN", "LIKE", "BETWEEN", "ASC", "DESC", "NULLS", "SELECT", "THEN", "WHEN", "ELSE", "END", "UNION", "INTERSECT", "EXCEPT", "SEPARATOR", "ESCAPE", "MINUS"}
+_SETS = ("UNION", "INTERSECT", "EXCEPT", "MINUS")
+_GROUPINGS = ("ROLLUP", "CUBE", "GROUPING")
+_GROUP_CONCAT_BYTES = 1_048_576
 _AGGREGATES = {"count", "sum", "min", "max", "avg"}
 TYPES = {
     "BOOL": ("boolean", "bool"), "BOOLEAN": ("boolean", "bool"), "INT": ("int", "int"), "INTEGER": ("int", "int"), "BIGINT": ("bigint", "int"),
@@ -118,13 +119,17 @@ def name_sql(*parts: str) -> str:
 
 
 class Rewriter:
-    """schema_of(name parts) -> [(column, Spark type)] or None where the table is unknown."""
+    """schema_of(name parts) -> [(column, Spark type)] or None where the table is unknown; relation_of(name parts) -> the parts that Spark knows it by."""
 
-    def __init__(self, sql: str, schema_of=lambda parts: None, collation: str = "binary", constants: dict[str, str] | None = None):
+    def __init__(self, sql: str, schema_of=lambda parts: None, collation: str = "binary", constants: dict[str, str] | None = None, relation_of=lambda parts: parts):
         self.tokens, self.at = tokens(sql), 0
-        self.schema_of, self.es = schema_of, collation == "es"
+        self.schema_of, self.relation_of, self.es = schema_of, relation_of, collation == "es"
         self.constants = constants or {}
         self.scope = Scope()
+        self.ctes: dict[str, list[tuple[str, str | None]]] = {}
+        self.growing: list[tuple[str, list[str]]] = []  # recursive CTEs whose first term isn't read yet
+        self.filtering = False  # whether a predicate here only decides if a row stays
+        self.outer_names = 0
 
     # -- tokens
 
@@ -165,12 +170,82 @@ class Rewriter:
     # -- SELECT
 
     def statement(self) -> str:
-        out = self.select()[0]
+        out = self.query()[0]
         self.end()
         return out
 
-    def select(self) -> tuple[str, list[tuple[str, str | None]]]:
-        """SQL, and the names and types of its columns."""
+    def query(self) -> tuple[str, list[tuple[str, str | None]]]:
+        """[WITH ...] SELECT, or SELECTs under set operations: SQL, and the names and types of its columns."""
+        known, filtering, self.filtering = dict(self.ctes), self.filtering, False
+        prefix = ""
+        if self.word("WITH"):
+            recursive = self.word("RECURSIVE")
+            prefix = f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(self._list(self._cte, recursive=recursive))} "
+        sql, columns = self._set_query() if self._in_set() or self.now.value == "(" and self.now.kind == "sign" else self.select()
+        self.ctes, self.filtering = known, filtering
+        return prefix + sql, columns
+
+    def at_query(self) -> bool:
+        return self.now.is_word("SELECT", "WITH")
+
+    def _cte(self, recursive: bool = False) -> str:
+        name, names = self.identifier(), []
+        if self.sign("("):
+            names = self._list(self.identifier)
+            self.need(")")
+        self.need("AS")
+        self.need("(")
+        if recursive:
+            self.ctes[name] = [(n, None) for n in names]
+            self.growing.append((name, names))
+        sql, columns = self.query()
+        self.need(")")
+        self.growing = [g for g in self.growing if g[0] != name]
+        self.ctes[name] = self._named(names, columns)
+        return f"{name_sql(name)}{' (' + ', '.join(map(name_sql, names)) + ')' if names else ''} AS ({sql})"
+
+    @staticmethod
+    def _named(names: list[str], columns: list) -> list[tuple[str, str | None]]:
+        return [(n, kind) for n, (_, kind) in zip(names or [n for n, _ in columns], columns, strict=False)]
+
+    def _in_set(self) -> bool:
+        """Whether the query that begins here has set operations of its own."""
+        depth, k = 0, self.at
+        while (t := self.tokens[k]).kind != "end" and t.value != ";":
+            if t.kind == "sign" and t.value in "()":
+                depth += 1 if t.value == "(" else -1
+                if depth < 0:
+                    break
+            elif not depth and t.is_word(*_SETS):
+                return True
+            k += 1
+        return False
+
+    def _term(self) -> tuple[str, list[tuple[str, str | None]]]:
+        if self.sign("("):
+            sql, columns = self.query()
+            self.need(")")
+            return f"({sql})", columns
+        return self.select(tail=False)
+
+    def _set_query(self) -> tuple[str, list[tuple[str, str | None]]]:
+        """Terms in text order; Spark's precedence is the standard one. ORDER BY and LIMIT are of the whole."""
+        sql, columns = self._term()
+        for name, names in self.growing:
+            self.ctes[name] = self._named(names, columns)
+        while self.now.is_word(*_SETS):
+            op = self.take().value.upper()
+            every = " ALL" if self.word("ALL") else ""
+            self.word("DISTINCT")
+            sql += f" {op}{every} {self._term()[0]}"
+        outer, self.scope = self.scope, Scope(types=dict(columns), outer=self.scope)
+        order = self._order_by() if self.word("ORDER") else ""
+        limit = self._limit()
+        self.scope = outer
+        return sql + order + limit, columns
+
+    def select(self, tail: bool = True) -> tuple[str, list[tuple[str, str | None]]]:
+        """SQL, and the names and types of its columns; tail: with its own ORDER BY and LIMIT."""
         self.need("SELECT")
         outer, self.scope = self.scope, Scope(outer=self.scope)
         distinct = self.word("DISTINCT")
@@ -187,9 +262,9 @@ class Rewriter:
             self.need("BY")
             group = f" GROUP BY {', '.join(self._list(self._group_key))}"
         self.scope.group_keys = keys
-        having = f" HAVING {self._condition()}" if self.word("HAVING") else ""
-        order = self._order_by() if self.word("ORDER") else ""
-        limit = self._limit()
+        having = f" HAVING {self.expression()[0]}" if self.word("HAVING") else ""
+        order = self._order_by() if tail and self.word("ORDER") else ""
+        limit = self._limit() if tail else ""
         stop = self.at
         self.at = items_at
         items = self._list(self._item)
@@ -217,7 +292,7 @@ class Rewriter:
                 if not depth:
                     break
                 depth -= 1
-            elif not depth and t.is_word(*_CLAUSES) or not depth and t.value == ";":
+            elif not depth and t.is_word(*_CLAUSES, *_SETS) or not depth and t.value == ";":
                 break
             k += 1
         self.at = k
@@ -231,17 +306,38 @@ class Rewriter:
                 depth += 1 if t.value == "(" else -1
                 if depth < 0:
                     break
-            elif not depth and t.is_word("GROUP"):
+            elif not depth and t.is_word(*_SETS):
+                break
+            elif not depth and t.is_word("GROUP") and self.tokens[k + 1].is_word("BY"):
                 self.at = k + 2
-                keys = set(self._list(self._group_key, plain=True))
+                keys = {x for own in self._list(self._group_key, plain=True) for x in own}
                 self.at = outer_at
                 return keys
             k += 1
         return None
 
-    def _group_key(self, plain: bool = False) -> str:
+    def _group_key(self, plain: bool = False):
+        """SQL of a GROUP BY item, or, plain, the expressions in it."""
+        if self.now.is_word(*_GROUPINGS) and (self.tokens[self.at + 1].value == "(" or self.tokens[self.at + 1].is_word("SETS")):
+            name = self.take().value.upper()
+            name += " " + self.take().value.upper() if name == "GROUPING" else ""
+            sql, inside = self._grouping()
+            return inside if plain else f"{name} {sql}"
         sql, kind = self.expression()
-        return fold_sql(sql) if self.es and kind == "text" and not plain else sql
+        return [sql] if plain else fold_sql(sql) if self.es and kind == "text" else sql
+
+    def _grouping(self) -> tuple[str, list[str]]:
+        """A parenthesised list of expressions and of such lists."""
+        self.need("(")
+        parts: list[tuple[str, list[str]]] = []
+        while not self.sign(")"):
+            if self.now.value == "(" and self.now.kind == "sign":
+                parts.append(self._grouping())
+            else:
+                sql = self.expression()[0]
+                parts.append((sql, [sql]))
+            self.sign(",")
+        return f"({', '.join(sql for sql, _ in parts)})", [x for _, own in parts for x in own]
 
     def _list(self, one, **options) -> list:
         out = [one(**options)]
@@ -250,7 +346,17 @@ class Rewriter:
         return out
 
     def _condition(self) -> str:
-        return self.expression()[0]
+        self.filtering = True
+        out = self.expression()[0]
+        self.filtering = False
+        return out
+
+    def _opaque(self, read):
+        """read() where the value of a predicate matters, not only whether it is true."""
+        filtering, self.filtering = self.filtering, False
+        out = read()
+        self.filtering = filtering
+        return out
 
     def _item(self):
         start = self.at
@@ -261,9 +367,7 @@ class Rewriter:
             if self.sign(".") and self.sign("*"):
                 return f"{name_sql(name)}.*", [(k.split(".", 1)[1], v) for k, v in self.scope.types.items() if k.startswith(name + ".")]
             self.at = start
-        sql, kind = self.expression()
-        if self.now.is_word("OVER"):
-            raise Unsupported("window functions")
+        sql, kind = self._of_group()
         bare = self.at - start in (1, 3) and self.tokens[self.at - 1].kind in ("word", "name") and self.tokens[start].kind in ("word", "name")
         name = self.identifier() if self.word("AS") else self.identifier() if self.now.kind in ("word", "name") and self.now.value.upper() not in _RESERVED else self.tokens[self.at - 1].value if bare else "?column?"
         return f"{sql} AS {name_sql(name)}", [(name, kind)]
@@ -271,9 +375,10 @@ class Rewriter:
     def _from(self) -> str:
         self.need("FROM")
         out = f" FROM {self._source()}"
-        if self.sign(","):
-            raise Unsupported("comma join")
-        while self.now.is_word(*_JOINS):
+        while self.now.is_word(*_JOINS) or self.now.kind == "sign" and self.now.value == ",":
+            if self.sign(","):
+                out += f", {self._source()}"
+                continue
             kind = "CROSS" if self.word("CROSS") else "LEFT" if self.word("LEFT") else "RIGHT" if self.word("RIGHT") else "FULL" if self.word("FULL") else "INNER" if self.word("INNER") or True else ""
             self.word("OUTER")
             self.need("JOIN")
@@ -281,7 +386,7 @@ class Rewriter:
             right_at = self.at
             right = self._source()
             if self.word("ON"):
-                out += f" {kind if kind != 'CROSS' else 'INNER'} JOIN {right} ON {self._condition()}"
+                out += f" {kind if kind != 'CROSS' else 'INNER'} JOIN {right} ON {self.expression()[0]}"
             elif self.word("USING"):
                 self.need("(")
                 names = self._list(self.identifier)
@@ -309,7 +414,7 @@ class Rewriter:
         if not hasattr(self, "aliases"):
             self.aliases = {}
         if self.sign("("):
-            sql, columns = self.select()
+            sql, columns = self.query()
             self.need(")")
             self.word("AS")
             alias = self.identifier()
@@ -322,11 +427,14 @@ class Rewriter:
         alias = parts[-1]
         if self.word("AS") or self.now.kind in ("word", "name") and self.now.value.upper() not in _RESERVED:
             alias = self.identifier()
+        self.aliases[place] = alias
+        if len(parts) == 1 and parts[0] in self.ctes:
+            self._known(alias, self.ctes[parts[0]])
+            return f"{name_sql(*parts)} AS {name_sql(alias)}"
         schema = self.schema_of(parts)
         if schema is not None:
             self._known(alias, [(n, tag_of(t)) for n, t in schema])
-        self.aliases[place] = alias
-        return f"{name_sql(*parts)} AS {name_sql(alias)}"
+        return f"{name_sql(*self.relation_of(parts))} AS {name_sql(alias)}"
 
     def _known(self, alias: str, columns: list[tuple[str, str | None]]) -> None:
         for name, kind in columns:
@@ -337,8 +445,20 @@ class Rewriter:
         self.need("BY")
         return f" ORDER BY {', '.join(self._list(self._order_item))}"
 
+    def _of_group(self):
+        """An expression; one that is a GROUP BY key as a whole stands for the key."""
+        keys, at = self.scope.group_keys, self.at
+        if keys:
+            self.scope.group_keys = None
+            sql, kind = self.expression()
+            self.scope.group_keys = keys
+            if sql in keys and not (self.es and kind == "text"):
+                return sql, kind
+            self.at = at
+        return self.expression()
+
     def _order_item(self) -> str:
-        sql, kind = self.expression()
+        sql, kind = self._of_group()
         if self.es and kind == "text":
             sql = fold_sql(sql)
         down = self.word("DESC")
@@ -386,7 +506,7 @@ class Rewriter:
 
     def _not(self):
         if self.word("NOT"):
-            return f"(NOT {self._not()[0]})", "bool"
+            return f"(NOT {self._opaque(self._not)[0]})", "bool"
         return self._is_null()
 
     def _is_null(self):
@@ -448,11 +568,20 @@ class Rewriter:
 
     def _in(self, left, no: str) -> str:
         self.need("(")
-        if self.now.is_word("SELECT"):
-            sql, columns = self.select()
+        if self.at_query():
+            outer_names = self.outer_names
+            sql, columns = self.query()
             self.need(")")
-            if self.es and left[1] == "text" and len(columns) == 1:
-                return f"{fold_sql(left[0])} {no}IN (SELECT {fold_sql(name_sql(columns[0][0]))} FROM ({sql}))"
+            if len(columns) == 1 and (self.es and left[1] == "text" or no and self.filtering and self.outer_names == outer_names):
+                value, column = left[0], name_sql(columns[0][0])
+                if self.es and left[1] == "text":
+                    value, column = fold_sql(value), fold_sql(column)
+                inner = f"(SELECT {column} AS `__v` FROM ({sql}))"
+                if no and self.filtering and self.outer_names == outer_names:
+                    # an ordinary anti join and two tests of the subquery alone; Spark's null-aware anti join broadcasts it whole
+                    some = f"EXISTS (SELECT 1 FROM {inner} AS `__s`"
+                    return f"NOT {some} WHERE `__s`.`__v` = {value}) AND ({value} IS NOT NULL AND NOT {some} WHERE `__s`.`__v` IS NULL) OR NOT {some}))"
+                return f"{value} {no}IN {inner}"
             return f"{left[0]} {no}IN ({sql})"
         items = self._list(self.expression)
         self.need(")")
@@ -520,12 +649,17 @@ class Rewriter:
             self.take()
             return "?", None
         if self.sign("("):
-            if self.now.is_word("SELECT"):
-                sql, columns = self.select()
+            if self.at_query():
+                sql, columns = self.query()
                 self.need(")")
                 return f"({sql})", columns[0][1] if len(columns) == 1 else None
+            at = self.at
             inner = self.expression()
             self.need(")")
+            if self.filtering and (self.now.kind == "sign" and self.now.value not in (")", ";", ",") or self.now.is_word("IS", "IN", "NOT", "LIKE", "BETWEEN")):
+                self.at = at  # its value is an operand
+                inner = self._opaque(self.expression)
+                self.need(")")
             return f"({inner[0]})", inner[1]
         if t.kind == "word":
             upper, following = t.value.upper(), self.tokens[self.at + 1]
@@ -536,7 +670,7 @@ class Rewriter:
                 return self._case()
             if upper == "EXISTS" and following.value == "(":
                 self.at += 2
-                sql = self.select()[0]
+                sql = self.query()[0]
                 self.need(")")
                 return f"EXISTS ({sql})", "bool"
             if following.kind == "sign" and following.value == "(":
@@ -544,16 +678,39 @@ class Rewriter:
             if upper in ("CURRENT_TIMESTAMP", "CURRENT_DATE") and t.value not in self.scope.types:
                 self.take()
                 return sql_of(upper, [])
-            if upper in ("INTERVAL", "WITH", "VALUES"):
+            if upper == "INTERVAL" and following.kind in ("number", "text"):
+                self.take()
+                amount = quoted(following.value) if following.kind == "text" else following.value
+                self.take()
+                return f"INTERVAL {amount} {self.take().value}", None
+            if upper in ("DATE", "TIMESTAMP") and following.kind == "text":
+                self.at += 2
+                return f"{'DATE' if upper == 'DATE' else 'TIMESTAMP_NTZ'} {quoted(following.value)}", "date" if upper == "DATE" else "ts"
+            if upper in ("INTERVAL", "VALUES"):
                 raise Unsupported(upper)
+        if t.kind == "sign" and t.value == "@":
+            return self._variable()
         return self._column()
 
+    def _variable(self):
+        """@@name, @@session.name, @@global.name."""
+        self.need("@")
+        self.need("@")
+        name = self.take().value.lower()
+        while self.sign("."):
+            name = self.take().value.lower()
+        if "@@" + name not in self.constants:
+            raise SyntaxFault(f"unknown variable {name}")
+        sql = self.constants["@@" + name]
+        return sql, "text" if sql.startswith("'") else "int"
+
     def _column(self):
         parts = [self.identifier()]
         while self.sign("."):
             parts.append(self.identifier())
         kind, own = self.scope.find(".".join(parts[-2:]))
-        sql = name_sql(*parts)
+        self.outer_names += not own
+        sql = name_sql(*parts[-2:])
         scope = self.scope
         if own and scope.group_keys is not None and not scope.in_aggregate:
             short = {k.split(".")[-1] for k in scope.group_keys}
@@ -564,6 +721,9 @@ class Rewriter:
         return sql, kind
 
     def _case(self):
+        return self._opaque(self._case_inside)
+
+    def _case_inside(self):
         self.take()
         subject = None if self.now.is_word("WHEN") else self.expression()
         out, kind = "CASE", None
@@ -601,14 +761,52 @@ class Rewriter:
             self.need(")")
         sql, kind = TYPES[name]
         if kind == "decimal":
-            scale = sizes[1] if len(sizes) > 1 else "0" if sizes else "10"
-            sql = f"decimal(38, {scale})"
+            sql = f"decimal({', '.join([*sizes, '0'][:2])})" if sizes else "decimal(38, 10)"
         return sql, kind
 
     def _call(self):
-        name = self.take().value.lower()
+        return self._opaque(self._call_inside)
+
+    def _call_inside(self):
+        name = self.take().value
+        sql, kind = self._call_of(name.lower(), name)
+        if self.now.is_word("FILTER"):
+            self.take()
+            self.need("(")
+            self.need("WHERE")
+            self.scope.in_aggregate += 1
+            sql += f" FILTER (WHERE {self.expression()[0]})"
+            self.scope.in_aggregate -= 1
+            self.need(")")
+        if self.now.is_word("OVER"):
+            self.take()
+            return f"{sql} OVER ({self._window()})", kind
+        return sql, kind
+
+    def _window(self) -> str:
+        """PARTITION BY, ORDER BY with the dialect's NULL order, and a frame as it stands."""
         self.need("(")
-        if name in self.constants and self.sign(")"):
+        parts = []
+        if self.now.is_word("PARTITION"):
+            self.take()
+            self.need("BY")
+            parts.append(f"PARTITION BY {', '.join(self._list(lambda: self._folded(self.expression())))}")
+        if self.word("ORDER"):
+            parts.append(self._order_by().strip())
+        if self.now.is_word("ROWS", "RANGE"):
+            while not (self.now.kind == "sign" and self.now.value == ")"):
+                if self.now.kind == "end":
+                    raise SyntaxFault("unclosed window")
+                parts.append(self.take().value)
+        self.need(")")
+        return " ".join(parts)
+
+    def _folded(self, value) -> str:
+        return fold_sql(value[0]) if self.es and value[1] == "text" else value[0]
+
+    def _call_of(self, name: str, written: str):
+        self.need("(")
+        if name in self.constants and self.now.value == ")" and self.sign(")"):
             return self.constants[name], "int"
         if name == "cast":
             return self._cast()
@@ -623,7 +821,9 @@ class Rewriter:
             self.need(")")
         if name in NAMES:
             return sql_of(name, [a[0] for a in args], [a[1] for a in args])
-        raise Unsupported(f"function {name}")
+        if self.now.is_word("WITHIN"):
+            raise Unsupported("WITHIN GROUP")
+        return f"{written}({', '.join(a[0] for a in args)})", {"row_number": "int", "rank": "int", "dense_rank": "int", "ntile": "int"}.get(name) or (args[0][1] if args and name in ("lag", "lead", "first_value", "last_value", "nth_value", "greatest", "least", "any_value", "first", "last") else None)
 
     def _keyword_call(self) -> bool:
         depth, k = 0, self.at
@@ -678,18 +878,32 @@ class Rewriter:
         self.need(")")
         text = f"cast(cast({value[0]} AS int) AS string)" if value[1] == "bool" else f"cast({value[0]} AS string)"
         if distinct and order and any(not o.startswith(value[0] + " ") for o in order):
-            # DISTINCT in the order of other keys: sort pairs, then keep the first of each text
-            key = order[0].rsplit(" NULLS ", 1)[0]
-            down = key.endswith(" DESC")
-            pairs = f"array_agg(CASE WHEN {value[0]} IS NOT NULL THEN named_struct('k', {key.rsplit(' ', 1)[0]}, 'v', {text}) END)"
-            sorted_ = f"sort_array({pairs}, {'false' if down else 'true'})"
-            return f"nullif(array_join(array_distinct(transform({sorted_}, x -> x.v)), {quoted(separator)}), '')", "text"
-        if distinct and order:
-            order = [text + o[len(value[0]) :] for o in order]
-        within = f" WITHIN GROUP (ORDER BY {', '.join(order)})" if order else ""
-        return f"listagg({'DISTINCT ' if distinct else ''}{text}, {quoted(separator)}){within}", "text"
+            out = self._distinct_in_order(value[0], text, order, separator)
+        else:
+            if distinct and order:
+                order = [text + o[len(value[0]) :] for o in order]
+            within = f" WITHIN GROUP (ORDER BY {', '.join(order)})" if order else ""
+            out = f"listagg({'DISTINCT ' if distinct else ''}{text}, {quoted(separator)}){within}"
+        # the result has at most _GROUP_CONCAT_BYTES bytes; a character that is cut in two goes
+        cut = f"rtrim('\ufffd', make_valid_utf8(cast(substring(cast({out} AS binary), 1, {_GROUP_CONCAT_BYTES}) AS string)))"
+        return f"CASE WHEN octet_length({out}) > {_GROUP_CONCAT_BYTES} THEN {cut} ELSE {out} END", "text"
+
+    @staticmethod
+    def _distinct_in_order(value: str, text: str, order: list[str], separator: str) -> str:
+        """DISTINCT in the order of other keys: sort by all keys, then keep the first place of each text."""
+        keys, test = [], "0"
+        for i, o in reversed(list(enumerate(order))):
+            key, down, nulls_last = re.fullmatch(r"(.*) (ASC|DESC) NULLS (FIRST|LAST)", o, re.S).groups()
+            keys.insert(0, f"'k{i}', {key}")
+            a, b = f"x.k{i}", f"y.k{i}"
+            last = 1 if nulls_last == "LAST" else -1
+            less = 1 if down == "DESC" else -1
+            test = f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN {test} WHEN {a} IS NULL THEN {last} WHEN {b} IS NULL THEN {-last} WHEN {a} < {b} THEN {less} WHEN {a} > {b} THEN {-less} ELSE {test} END"
+        rows = f"array_agg(named_struct({', '.join(keys)}, 'v', {text})) FILTER (WHERE {value} IS NOT NULL)"
+        texts = f"array_distinct(transform(array_sort({rows}, (x, y) -> {test}), x -> x.v))"
+        return f"CASE WHEN count({value}) > 0 THEN array_join({texts}, {quoted(separator)}) END"
 
 
 def rewrite(sql: str, schema_of=lambda parts: None, collation: str = "binary", constants: dict[str, str] | None = None) -> str:
-    """A SELECT of the dialect as Spark SQL."""
+    """A query of the dialect as Spark SQL."""
     return Rewriter(sql, schema_of, collation, constants).statement()

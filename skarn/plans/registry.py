@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Importing a catalogue module registers its queries."""
-    from skarn.plans import catalogue  # noqa: F401
+    from skarn.plans import catalogue, statements  # noqa: F401

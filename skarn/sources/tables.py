@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a lazy scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table as a lazy scan. Its schema is read from a footer once per application and path."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = spark.sparkContext.applicationId, path
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def write_sorted(data: DataFrame, path: str, keys: Sequence[str], mode: str = "error") -> None:

@@ -68,3 +68,52 @@ def test_entry(spark):
 def test_entry_without_the_llm_subpackage():
     code = "import sys; sys.modules['skarn.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'flagship' in q and not any(k.startswith('op1') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_not_in_has_no_forced_broadcast(spark):
+    from skarn.session import Session
+
+    session = Session(spark).attach(SF, ("orders", "lineitem"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = session.query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" in plan and "Broadcast" not in plan
+
+
+def test_equal_rows_of_a_hot_key_are_dealt(spark):
+    large = spark.createDataFrame([(1, "same", 0)] * 1000, "k int, v string, __salt int").repartition(4)
+    small = spark.createDataFrame([(1, 5)], "k int, w int")
+    joined = rel.salted_join(large, small, "k", 16)
+    assert joined.count() == 1000 and joined.columns == ["k", "v", "__salt", "w"]
+    place = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(16))
+    assert large.select(place.alias("s")).distinct().count() == 16
+
+
+def test_inserts_append_and_vacuum_removes_old_versions(spark, tmp_path):
+    from skarn.session import Affected, Session
+
+    s = Session(spark, f"file://{tmp_path}")
+    s.run("CREATE TABLE t (a INT PRIMARY KEY); INSERT INTO t VALUES (1), (2), (3); INSERT INTO t VALUES (4)")
+    written = {p.name: sum(1 for f in p.glob("*.parquet")) for p in tmp_path.iterdir()}
+    assert len(written) == 2 and spark.read.parquet(f"file://{tmp_path}/*").count() == 4
+    with pytest.raises(Exception):  # noqa: B017
+        s.execute("INSERT INTO t VALUES (4)")
+    assert len([*tmp_path.iterdir()]) == 2
+    s.execute("DELETE FROM t WHERE a < 3")
+    assert s.execute("VACUUM") == Affected(2) and sorted(r.a for r in s.query("SELECT a FROM t").collect()) == [3, 4]
+    s.execute("ALTER TABLE t REBUILD")
+    assert len(s._state.tables["default.public.t"].paths) == 1
+
+
+def test_two_sessions_keep_their_tables_apart(spark):
+    from skarn.session import Session
+
+    a, b = Session(spark), Session(spark)
+    a.run("CREATE TABLE t (x INT); INSERT INTO t VALUES (1)")
+    b.run("CREATE TABLE t (x INT); INSERT INTO t VALUES (2)")
+    lazily = a.query("SELECT x FROM t")
+    a.execute("UPDATE t SET x = 9")
+    assert [r.x for r in lazily.collect()] == [1] and a.query("SELECT x FROM t").first().x == 9 and b.query("SELECT x FROM t").first().x == 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("_skarn")]

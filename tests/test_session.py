@@ -98,7 +98,7 @@ def test_ddl(shop):
     shop.run("INSERT INTO users VALUES (10, 'Bo', 'user'); DROP INDEX one_label ON users; DROP TABLE orders; DROP TABLE IF EXISTS orders, nothing")
     with pytest.raises(EngineError):
         shop.query("SELECT * FROM nowhere").collect()
-    shop.run("CREATE DATABASE d; USE d; CREATE SCHEMA IF NOT EXISTS d; DROP DATABASE d")
+    shop.run("CREATE DATABASE d; USE d; CREATE SCHEMA IF NOT EXISTS d; USE default; DROP DATABASE d")
     with pytest.raises(NotFound):
         shop.execute("USE d")
     with pytest.raises(EngineError):
