@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -17,33 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.sources.shared import delete, fresh_dir, shared_dir  # noqa: F401
+
 #: ASCII white space, as the word rule `[^\x20\x09-\x0D]+` has it; bytes.split() splits at the same six bytes.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a folder of this process stands in on one machine (tests); on a cluster that is an error, as
-    executors wouldn't see it.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="skarn-")
-    return _LOCAL["dir"]
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/skarn/{name}-{uuid.uuid4().hex}"
-
-
 _SCOPES: list[list[str]] = []
 
 
@@ -75,11 +54,6 @@ def scratch(spark: SparkSession):
             delete(spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder and the folder's path in it. Schemes that pyarrow knows, and s3a as s3."""
     return pafs.FileSystem.from_uri("s3" + folder[3:] if folder.startswith("s3a:") else folder)
