@@ -123,6 +123,13 @@ register("distinct_collation_es", lambda s, d: rel.distinct_folded(table(s, d, "
 dialect("group_collation_es_sql", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents WHERE source <> 'SRC0' GROUP BY source", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents WHERE source <> 'src0' GROUP BY source", collation="es")
 dialect("filter_collation_es", "SELECT doc_id FROM documents WHERE source = 'SRC3' AND text LIKE '%QUE LÁ%' OR lang IN ('És')", "SELECT doc_id FROM documents WHERE source = 'src3' AND strip_accents(lower(text)) LIKE '%que la%' OR lang = 'es'", collation="es")
 
+# -- the shapes of the published benchmarks over the large table
+
+dialect("scan_wide", "SELECT * FROM lineitem")
+dialect("group_int_large", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+dialect("group_avg_large", "SELECT l_linenumber, round(avg(l_quantity), 4) AS q, round(avg(l_extendedprice), 2) AS p FROM lineitem GROUP BY l_linenumber")
+dialect("left_join_large", "SELECT o.o_orderkey AS k FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL")
+
 # -- E: order, limit, subqueries
 
 dialect("order_multi", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment NULLS LAST, c_acctbal DESC NULLS FIRST, c_custkey")
