@@ -27,7 +27,7 @@ _SCOPES: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. keep: beyond scratch."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. keep: beyond a scratch."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
@@ -45,7 +45,7 @@ def discard(written: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """What is materialized inside is deleted at the end; only results that are written outside may outlive it."""
+    """What is materialized inside is deleted at the end, but for what is written to be kept."""
     _SCOPES.append([])
     try:
         yield

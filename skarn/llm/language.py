@@ -302,7 +302,7 @@ def keep_known(documents: DataFrame, model: TrigramModel) -> DataFrame:
     """The rows of documents that aren't rejected, with all their columns. Rows of one text, declaration and source are judged alike."""
     rejected = _identified(evidence_of_documents(documents), model).filter("not kept").select("k1", "k2").distinct()
     packed = documents.select(F.struct(*columns_of(documents)).alias("row"), *_document_key(documents))
-    return packed.join(materialize(rejected, "language-rejects"), ["k1", "k2"], "left_anti").select("row.*")
+    return packed.join(materialize(rejected, "language-rejects", keep=True), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def brute_force(rows: list[dict], model: TrigramModel) -> list[tuple[str, float]]:

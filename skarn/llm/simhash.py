@@ -288,11 +288,11 @@ def keep_first(documents: DataFrame, groups: DataFrame | None = None) -> DataFra
     packed = documents.select(F.struct(*columns_of(documents)).alias("row"), *mine)
     gone = found.filter("doc_id <> component_id").select(*row)
     if crowded.isEmpty():
-        return packed.join(materialize(gone.distinct(), "gone"), row, "left_anti").select("row.*")
+        return packed.join(materialize(gone.distinct(), "gone", keep=True), row, "left_anti").select("row.*")
     counts = heads.join(crowded, "root").groupBy("root", *row).count()
     best = materialize(counts.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("k1", "k2"))), "heads")
-    gone = materialize(gone.unionByName(best.filter("place > 1").select(*row)).distinct(), "gone")
-    again = materialize(best.filter("place = 1 AND count > 1").select(*row), "again")
+    gone = materialize(gone.unionByName(best.filter("place > 1").select(*row)).distinct(), "gone", keep=True)
+    again = materialize(best.filter("place = 1 AND count > 1").select(*row), "again", keep=True)
     once = packed.join(again, row, "left_semi").dropDuplicates(row)
     return packed.join(gone.unionByName(again), row, "left_anti").select("row.*").unionByName(once.select("row.*"))
 

@@ -50,13 +50,16 @@ def test_stages_keep_columns(spark):
 
 
 def test_run_on_odd_tables(spark, tmp_path):
-    prose = ["the cat sat on the mat and it was warm in there for all of us to see", "what came by that day at home was the end of it all for the old men", "so we went on with the work of the house and the sea was in our eyes"]
-    rows = [(3, prose[0]), (5, prose[0]), (5, prose[1]), (6, prose[2]), (6, prose[2]), (7, None), (8, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = [r.text for r in docs.orderBy("doc_id").collect() if r.lang == "en" and 300 < len(r.text) < 3000 and not any(c.isdigit() for c in r.text)]
+    a, b, c = (" ".join(reversed(t.split())) for t in plain[:3])
+    rows = [(900003, a), (900005, a), (900005, b), (900006, c), (900006, c), (900007, None), (900008, "")]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).filter("doc_id >= 900000").collect()
     encode = encoder("word_bpe_49k.json").document
-    assert sorted((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == sorted((i, len(encode(t)) // 4) for i, t in [(3, prose[0]), (5, prose[1]), (6, prose[2])])
-    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert sorted((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == [(i, len(encode(t)) // 4) for i, t in [(900003, a), (900005, b), (900006, c)]]
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
