@@ -24,7 +24,7 @@ def test_near_copies_with_edits_go(spark, monkeypatch):
     got = minhash.similar_groups(frame).collect()
     assert len(got) == len(rows) + 1 and {r.doc_id: r.component_id for r in got} == want
     monkeypatch.setattr(common, "HOT_ROWS", 2)
-    monkeypatch.setattr(minhash, "MORE_PIVOTS", 2)
+    monkeypatch.setattr(minhash, "MORE_PIVOTS", 4)
     kept = corpus_pipeline.one_of_each_group(spark, frame, "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, set(want.values())), "None"])
     assert len(set(want.values())) < len({c for _, c in simhash.brute_force(rows).values()})
