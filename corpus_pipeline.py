@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skarn.llm import decontaminate, language, minhash, packing, pii, simhash
+from skarn.llm import decontaminate, language, packing, pii, simhash, similar
 from skarn.llm.common import discard, materialize, scratch
 
 
@@ -22,10 +22,10 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays.
 
-    Decided row by row: rows are told apart by id and text.
+    Found by SimHash and covering anchors, as op3 does, with fingerprints wide enough for this rule. Decided row by row: rows are told apart by id and text.
     """
     with scratch(spark):
-        return simhash.keep_first(docs, minhash.similar_groups(docs))
+        return simhash.keep_first(docs, similar.similar_groups(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,6 +94,34 @@ def join_hot(large: DataFrame, small: DataFrame, keys: list[str], counts: DataFr
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Bits of the table by which only_some and all_but pass over rows; with many more keys it tells less, but never wrongly.
+MARKS = 1 << 22
+
+
+def _marked(rows: DataFrame, some: DataFrame, keys: list[str], how: str) -> DataFrame:
+    place = F.pmod(F.xxhash64(*keys), F.lit(MARKS).cast("long"))
+    marks = some.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    words = marks.agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits")).collect()
+    table = np.zeros(MARKS // 64, dtype=np.int64)
+    table[[r["word"] for r in words]] = [r["bits"] for r in words]
+    frame = rows.sparkSession.createDataFrame(pa.table({"_marks": pa.array([table], pa.list_(pa.int64()))}))
+    word = F.get("_marks", F.shiftright(place, 6).cast("int"))
+    return rows.join(F.broadcast(frame), F.call_function("getbit", word, place.bitwiseAND(63).cast("int")) == 1, how)
+
+
+def only_some(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among those of some, so that a join need not move the others; a few others may stay.
+
+    The keys are marked in a table of MARKS bits, which is broadcast: half a megabyte, whatever the data.
+    """
+    return _marked(rows, some, keys, "left_semi")
+
+
+def all_but(rows: DataFrame, some: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that only_some leaves out."""
+    return _marked(rows, some, keys, "left_anti")
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the Python workers this package, once per application; a driver may know it by a path that workers don't."""
     context, package = spark.sparkContext, Path(__file__).resolve().parents[1]

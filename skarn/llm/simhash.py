@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_pass, ascii_lower_words, columns_of, content_key, discard, join_hot, materialize
+from skarn.llm.common import all_but, arrow_pass, ascii_lower_words, columns_of, content_key, discard, join_hot, materialize, only_some
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -288,13 +288,16 @@ def keep_first(documents: DataFrame, groups: DataFrame | None = None) -> DataFra
     packed = documents.select(F.struct(*columns_of(documents)).alias("row"), *mine)
     gone = found.filter("doc_id <> component_id").select(*row)
     if crowded.isEmpty():
-        return packed.join(materialize(gone.distinct(), "gone", keep=True), row, "left_anti").select("row.*")
+        gone = materialize(gone.distinct(), "gone", keep=True)
+        return all_but(packed, gone, row).unionByName(only_some(packed, gone, row).join(gone, row, "left_anti")).select("row.*")
     counts = heads.join(crowded, "root").groupBy("root", *row).count()
     best = materialize(counts.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("k1", "k2"))), "heads")
     gone = materialize(gone.unionByName(best.filter("place > 1").select(*row)).distinct(), "gone", keep=True)
     again = materialize(best.filter("place = 1 AND count > 1").select(*row), "again", keep=True)
-    once = packed.join(again, row, "left_semi").dropDuplicates(row)
-    return packed.join(gone.unionByName(again), row, "left_anti").select("row.*").unionByName(once.select("row.*"))
+    once = only_some(packed, again, row).join(again, row, "left_semi").dropDuplicates(row)
+    left = gone.unionByName(again)
+    kept = all_but(packed, left, row).unionByName(only_some(packed, left, row).join(left, row, "left_anti"))
+    return kept.select("row.*").unionByName(once.select("row.*"))
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int]]:
