@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,6 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skarn.sources.shared import delete, fresh_dir, shared_dir  # noqa: F401
 
@@ -22,6 +25,7 @@ from skarn.sources.shared import delete, fresh_dir, shared_dir  # noqa: F401
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _SHIPPED: set[str] = set()
+_LIBC = ctypes.CDLL(None)
 
 
 _SCOPES: list[list[str]] = []
@@ -82,7 +86,8 @@ def join_hot(large: DataFrame, small: DataFrame, keys: list[str], counts: DataFr
     rows = [(*(r[k] for k in keys), int(-(-r["n"] // a_salt))) for r in top]
     names = [f"_hot{i}" for i in range(len(keys))]
     schema = T.StructType([T.StructField(n, counts.schema[k].dataType) for n, k in zip(names, keys, strict=True)] + [T.StructField("_salts", T.IntegerType())])
-    salts = F.broadcast(large.sparkSession.createDataFrame(rows, schema))
+    table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=schema.names)
+    salts = F.broadcast(large.sparkSession.createDataFrame(table, schema))  # from Arrow: rows of a list would go through Python workers
 
     def with_salts(side: DataFrame) -> DataFrame:
         same = [side[k] == salts[n] for k, n in zip(keys, names, strict=True)]
@@ -150,10 +155,58 @@ def content_key(*values: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *values, *(v.isNull() for v in values)).alias(f"k{seed}") for seed in (1, 2)]
 
 
+#: Functions that empty what a worker keeps from task to task, and the operator whose tasks it ran last.
+_KEPT: list[Callable[[], object]] = []
+_LAST = [""]
+
+
+def kept(clear: Callable[[], object]) -> None:
+    """Have clear called when a worker comes to another operator's tasks."""
+    _KEPT.append(clear)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def begin(operator: str) -> None:
+    """Workers serve one operator after the other; what one has kept goes before the next begins."""
+    if _LAST[0] != operator:
+        _LAST[0] = operator
+        for clear in _KEPT:
+            clear()
+        gc.collect()
+        give_back()
+
+
+#: Operators get batches cut to so many bytes or so, as what they derive from a batch is many times its size.
+BATCH_BYTES = 4 << 20
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes))
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def _tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    operator = function.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
+        yield from function(_cut(batches))
+        give_back()
+
+    return run
+
+
 def arrow_pass(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """One streaming pass of Arrow batches; no task holds more than a batch."""
     ship_code(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_tidy(function), schema)
 
 
 def ascii_lower_words(text: str | None) -> list[bytes]:

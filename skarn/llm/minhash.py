@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import arrow_pass, ascii_lower_words, content_key, join_hot, materialize
+from skarn.llm.common import arrow_pass, ascii_lower_words, content_key, join_hot, kept, materialize
 from skarn.llm.simhash import Forest, components, stars
 
 SHINGLE_WORDS = 5
@@ -67,6 +67,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+kept(_HASHES.clear)
 
 
 def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:

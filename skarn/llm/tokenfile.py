@@ -46,6 +46,8 @@ CHECKSUM_FLAG = 0x80
 LEVEL = 3
 #: Rows of equal ids are in the order of so many characters of their texts.
 HEAD_CHARS = 64
+#: Small files are read several to a task, so that each has so many tokens or so.
+TASK_TOKENS = 1 << 19
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -160,7 +162,8 @@ def write_files(documents: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKE
     order = ("doc_id", "head", "h", "place")
     placed = texts.withColumns({"head": F.left("text", F.lit(HEAD_CHARS)), "h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
     dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    manifest = materialize(arrow_pass(dealt, _write_batches(folder, tokenizer, width), MANIFEST), "manifest")
+    written = arrow_pass(dealt, _write_batches(folder, tokenizer, width), MANIFEST)
+    manifest = materialize(written.repartition(1), "manifest")  # a row per file: one small table, not a table per task
     files, base = filesystem(folder)
     for left in files.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
         if left.base_name.startswith(".part-"):
@@ -184,10 +187,11 @@ def _read_batches(folder: str):
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files, a task per file."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files, a task per file or TASK_TOKENS."""
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.select("path", before.cast("long").alias("start"))
-    return arrow_pass(placed.repartition(max(1, manifest.count())), _read_batches(folder), ROWS)
+    files, tokens = manifest.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    return arrow_pass(placed.repartition(max(1, min(files, -(-tokens // TASK_TOKENS)))), _read_batches(folder), ROWS)
 
 
 def token_files(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, folder: str | None = None) -> DataFrame:

@@ -15,6 +15,8 @@ from functools import lru_cache
 
 import regex
 
+from skarn.llm.common import kept
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: The tokenizer file's split pattern (fixed value).
@@ -97,3 +99,6 @@ class WordEncoder(dict):
 @lru_cache(maxsize=2)
 def encoder(tokenizer: str) -> WordEncoder:
     return WordEncoder(tokenizer)
+
+
+kept(encoder.cache_clear)

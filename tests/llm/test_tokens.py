@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from skarn.llm import packing, tokenfile, unigram, wordbpe
+from skarn.llm import common, packing, tokenfile, unigram, wordbpe
 
 ODD = [
     None, "", " ", "a", "It's the END, isn't it? 'tis we'll", "Äé ÑANDÚ d'été. ÉCOLE, ½ ² x1y22 İstanbul ſtraße ŉ",
@@ -197,3 +197,24 @@ def test_counts_of_odd_tables(spark):
     got = unigram.token_counts(frame).collect()
     assert len(got) == 4 and sorted(r.n_tokens for r in got)[0] == 0
     assert unigram.token_counts(frame.limit(0)).count() == 0
+
+
+def test_small_files_share_tables_and_tasks(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(64)], "doc_id long, text string").repartition(6)
+    folder = f"file://{tmp_path}/tokens"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = tokenfile.write_files(frame, folder)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 2 and len(manifest.inputFiles()) == 1
+    rows = tokenfile.read_files(manifest, folder)
+    assert rows.rdd.getNumPartitions() == 1 and sorted(r.doc_id for r in rows.collect()) == list(range(64))
+
+
+def test_a_worker_drops_what_another_operator_kept():
+    wordbpe.encoder.cache_clear()
+    common.begin("packing")
+    wordbpe.encoder(wordbpe.DEFAULT_TOKENIZER).document("a b")
+    common.begin("packing")
+    assert wordbpe.encoder.cache_info().currsize == 1
+    common.begin("similar")
+    assert wordbpe.encoder.cache_info().currsize == 0
