@@ -234,6 +234,14 @@ def _near_pairs(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFra
     return of_both.filter(_near(threshold, ("size_a", "print_a"), ("size_b", "print_b"))).select("a", "b")
 
 
+def _across(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs a, b whose ends lie in different components."""
+    root = lambda x: linked.select(F.col("child").alias(x), F.col("root").alias(f"root_{x}"))
+    of_b = join_hot(pairs, root("b"), ["b"], _counted(pairs, "b"), "left")
+    of_both = join_hot(of_b, root("a"), ["a"], _counted(pairs, "a"), "left")
+    return of_both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def similar_groups(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, k1, k2, root, component_id: one row per row of documents that has an id; groups for simhash.keep_first."""
     row, text = ["doc_id", "k1", "k2"], F.col("text").cast("string")
@@ -257,8 +265,13 @@ def similar_groups(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, thr
         of_wanted = of_wanted.join(again, row, "left_anti").unionByName(of_wanted.join(again, row, "left_semi").dropDuplicates(["v"]))
     sets = materialize(arrow_pass(of_wanted.select("v", "text"), _set_batches(shingle_words), "v long, hashes array<long>"), "shingle-sets")
 
-    links = materialize(_similar(pairs, sets, threshold), "similar")
-    linked = stars(links)
+    firsts = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    links = materialize(_similar(firsts, sets, threshold), "similar")
+    linked = stars(links)  # most pairs left lie in one component now, and need no look
+    rest = materialize(_across(pairs.join(firsts, ["a", "b"], "left_anti"), linked), "pairs-across")
+    more = materialize(_similar(rest, sets, threshold), "similar")
+    if not more.isEmpty():
+        linked = stars(more.unionByName(linked.select(F.col("child").alias("a"), F.col("root").alias("b"))))
     degrees = crowd.groupBy("v").agg(F.count("*").alias("degree"))
     members = materialize(crowd.join(signs.select("v", "size", "print").join(degrees, "v"), "v"), "members")
     pivots, of_set = 1, ["size", "print", "degree"]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from skarn.llm import minhash, similar
+from skarn.llm import common, minhash, similar
 
 
 def _edited(rng: random.Random) -> list[tuple[int, str | None]]:
@@ -68,3 +68,15 @@ def test_crowded_anchors(spark, monkeypatch):
 
 def test_empty(spark):
     assert similar.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_are_parted_by_marks(spark):
+    rows, some = spark.range(3000).selectExpr("id", "if(id = 7, null, id) as k"), spark.range(5, 60).selectExpr("if(id = 7, null, id) as k")
+    may, others = ({r.id for r in f(rows, some, ["k"]).collect()} for f in (common.only_some, common.all_but))
+    assert set(range(5, 60)) <= may and not may & others and may | others == set(range(3000)) and len(may) < 100
+
+
+def test_pairs_within_a_component_are_not_compared_again(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9)], "a long, b long")
+    linked = spark.createDataFrame([(2, 1), (3, 1)], "child long, root long")
+    assert sorted(map(tuple, similar._across(pairs, linked).collect())) == [(3, 4), (8, 9)]
