@@ -182,8 +182,10 @@ def begin(operator: str) -> None:
         give_back()
 
 
-#: Operators get batches cut to so many bytes or so, as what they derive from a batch is many times its size.
+#: Operators get batches of so many bytes or so, as what they derive from a batch is many times its size.
 BATCH_BYTES = 4 << 20
+#: Spark's own bound, 64 MB by default: executors and workers hold several such batches at a time, outside of the heap.
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +206,10 @@ def _tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
 
 
 def arrow_pass(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """One streaming pass of Arrow batches; no task holds more than a batch."""
+    """One streaming pass of Arrow batches; no task holds more than a few batches of BATCH_BYTES, or of what the session has set."""
     ship_code(df.sparkSession)
+    conf = df.sparkSession.conf
+    conf.set(_ARROW_BYTES, conf.get(_ARROW_BYTES, f"{BATCH_BYTES}b"))
     return df.mapInArrow(_tidy(function), schema)
 
 

@@ -24,6 +24,9 @@ _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Characters that normal form C leaves alone and that lower-case alike in all Unicode versions.
 _PLAIN = re.compile("[!-~¡-įı-ſ]+")
 _LONG_KEY = 64
+#: A generation has at most so many chunks, the most that a dict holds before it doubles to 20 MB, and so many bytes of chunks and ids.
+KEPT = 349_525
+KEPT_BYTES = 16 << 20
 
 
 def resolve(tokenizer: str) -> str:
@@ -45,22 +48,25 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer: str, kept: int = 450_000):
+    def __init__(self, tokenizer: str, kept: int = KEPT, kept_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(resolve(tokenizer))
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.kept, self.old = kept, {}
+        self.kept, self.kept_bytes, self.held, self.old = kept, kept_bytes, 0, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             ids = self._encode(chunk)
         if len(chunk) <= _LONG_KEY:
-            if len(self) >= self.kept:
+            self.held += len(chunk) + len(ids)
+            if len(self) >= self.kept or self.held > self.kept_bytes:
+                self.old = {}  # goes before the copy is made
                 self.old = dict(self)
                 self.clear()
+                self.held = len(chunk) + len(ids)
             self[chunk] = ids
         return ids
 

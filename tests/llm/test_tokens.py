@@ -218,3 +218,29 @@ def test_a_worker_drops_what_another_operator_kept():
     assert wordbpe.encoder.cache_info().currsize == 1
     common.begin("similar")
     assert wordbpe.encoder.cache_info().currsize == 0
+
+
+def test_batches_from_spark_are_small(spark):
+    import pyarrow as pa
+
+    def buffers(batches):  # of the whole batch that Spark sent, not of the part cut from it
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.get_total_buffer_size()], pa.int64())], names=["n"])
+
+    frame = spark.range(0, 6000, 1, 1).selectExpr("repeat('word ', 1000) AS text")
+    assert max(r.n for r in common.arrow_pass(frame, buffers, "n long").collect()) < 3 * common.BATCH_BYTES
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "100k")  # a session's own bound holds
+        assert max(r.n for r in common.arrow_pass(frame, buffers, "n long").collect()) < 300_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_word_cache_is_bounded_by_bytes(library):
+    mine = wordbpe.WordEncoder(wordbpe.DEFAULT_TOKENIZER, kept_bytes=100_000)
+    for i in range(40):
+        text = " ".join(f"{i:02}{k:03}" + "7" * 55 for k in range(50))
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        for kept in (mine, mine.old):
+            assert sum(len(c) + len(ids) for c, ids in kept.items()) <= 100_000 + 400
+    assert mine.old
